@@ -175,3 +175,36 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     out = np.arange(total, dtype=np.int64)
     return out + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+# ---- packed arrays --------------------------------------------------------------------------------------------
+
+def small(x: np.ndarray) -> list[np.ndarray]:
+    """Non-negative integers as bytes, 255 standing for a larger one, and those larger ones."""
+    x = np.asarray(x, np.int64)
+    large = x >= 255
+    return [np.where(large, 255, x).astype(np.uint8), x[large]]
+
+
+def unsmall(low: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[low == 255] = large
+    return out
+
+
+def pack(arrays: Iterable[np.ndarray]) -> bytes:
+    """Arrays of bytes, 64-bit integers or 64-bit unsigned integers in one binary value."""
+    arrays = list(arrays)
+    head = np.array([[{1: 0, 8: 1}[a.itemsize], len(a)] for a in arrays], np.int64)
+    return b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """The arrays of pack(), 64-bit ones unsigned."""
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    head = np.frombuffer(blob, np.int64, 2 * n, 8).reshape(n, 2)
+    out, at = [], 8 + 16 * n
+    for wide, size in head.tolist():
+        out.append(np.frombuffer(blob, np.uint64 if wide else np.uint8, size, at))
+        at += size * (8 if wide else 1)
+    return out

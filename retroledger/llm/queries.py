@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fitting, quality, rules, simhash, toxicity
+from . import bpe, chat, decontaminate, fitting, licences, lm, quality, rules, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,12 +27,41 @@ def _predictions(scored: DataFrame, modulus: int, held: int) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(_documents(spark, sf_dir), fitting.id_hash() % 7 != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    record = json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("id"), F.lit(record).alias("record"))
+    turns = chat.turns_of_rows(_read(spark, sf_dir, "conversations"), "conv_id").unionByName(chat.turns_of_records(more, "id", "record"))
+    made = chat.render(turns)
+    read = made.select("key", "formatted", chat.parse(F.col("formatted")).alias("turns"), F.array_join(chat.masked(F.col("formatted"), F.col("loss")), "").alias("lost"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("key").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_documents(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.train(docs, _read(spark, sf_dir, "labels"), 4, 2)
     return _predictions(quality.score(docs, model, carry=False), 4, 2)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"), 3, 1)
@@ -68,7 +98,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_classifier, op7_toxicity, op8_quality_rules, op9_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op2_language_model, op3_chat, op4_decontamination, op5_quality_classifier, op6_licences, op7_toxicity, op8_quality_rules, op9_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, fitting, licences, lm, quality, rules, simhash, toxicity
+from . import bpe, chat, decontaminate, fitting, licences, lm, quality, rules, simhash, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,11 @@ def _predictions(scored: DataFrame, modulus: int, held: int) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate(_documents(spark, sf_dir), carry=False)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(_documents(spark, sf_dir), fitting.id_hash() % 7 != 2)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -98,7 +103,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_model, op3_chat, op4_decontamination, op5_quality_classifier, op6_licences, op7_toxicity, op8_quality_rules, op9_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_model, op3_chat, op4_decontamination, op5_quality_classifier, op6_licences, op7_toxicity, op8_quality_rules, op9_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -241,3 +241,13 @@ def contamination(docs: DataFrame, items: DataFrame, column: str = "text", windo
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
     out = found.withColumn("n_hit", hit).withColumn("n_items", F.size("item_ids").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, items: DataFrame, column: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(column, F.lit(""))).alias("text"))  # tells rows of one id apart
+    keyed = docs.withColumn("_key", key)
+    found = contamination(keyed.select(F.col("_key").alias("doc_id"), column), items, column, window)
+    dirty = common.stored(found.where("contaminated").select(F.coalesce(F.col("doc_id.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id.doc_id").isNull().alias("_no_id"), F.col("doc_id.text").alias("_text")).distinct(), "contaminated")
+    rows = keyed.select(*docs.columns, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("_key.text").alias("_text"))
+    return rows.join(dirty, ["_id", "_no_id", "_text"], "left_anti").select(*docs.columns)

@@ -195,3 +195,17 @@ def apply(docs: DataFrame, column: str = "text", **parameters: float) -> DataFra
     """measure() and judge(); the counts are written once, as every concentration step reads them. The text itself is
     not carried along."""
     return judge(common.stored(measure(docs, column, carry=False), "text-statistics"), **parameters)
+
+
+def _row_key(column: str) -> tuple:
+    """What tells rows apart here: the id and a hash of the text, both without nulls."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.xxhash64(F.coalesce(column, F.lit("")), F.col("lang"), F.col("source")).alias("_text")
+
+
+def keep(docs: DataFrame, column: str = "text", **parameters: float) -> DataFrame:
+    """The rows of docs that apply() keeps, with all their columns. Few rows are rejected as a rule, so the rejected ones
+    are found and taken away."""
+    rows = docs.select("*", *_row_key(column))
+    judged = apply(rows.select("_id", "_no_id", "_text", column, "lang", "source"), column, **parameters)
+    rejected = common.stored(judged.where(~F.col("kept")).select("_id", "_no_id", "_text").distinct(), "rejected")
+    return rows.join(rejected, ["_id", "_no_id", "_text"], "left_anti").select(*docs.columns)

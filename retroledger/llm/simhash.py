@@ -251,10 +251,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, column: str = "text", **parameters: int) -> DataFrame:
-    """docs without the text, with ``fp`` and ``component_id``: the smallest doc_id that can be reached over links between
-    fingerprints, the document itself included."""
+    """docs without the text, with ``fp``, ``component_id``: the smallest doc_id that can be reached over links between
+    fingerprints, the document itself included, and ``root``: the smallest fingerprint of the component."""
     marked = common.stored(fingerprints(docs, column, carry=False), "marked")
     roots = common.stored(components(links(marked, **parameters)), "roots")
-    found = marked.join(roots, marked["fp"] == roots["node"], "left").select(*(marked[c] for c in marked.columns if c != "component_id"), F.coalesce("root", "fp").alias("_root"))
-    ids = found.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(ids, "_root").drop("_root")
+    found = marked.join(roots, marked["fp"] == roots["node"], "left").select(*(marked[c] for c in marked.columns if c not in ("component_id", "root")), F.coalesce(roots["root"], "fp").alias("root"))
+    ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(ids, "root")
+
+
+def representatives(docs: DataFrame, column: str = "text", **parameters: int) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component, one for each component (of several texts with
+    that id the one of smallest hash, of repeated rows one)."""
+    text = F.xxhash64(F.coalesce(column, F.lit(""))).alias("_text")
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no_id")
+    kept = near_duplicates(docs.select("doc_id", column, text), column, **parameters).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    same = kept.groupBy("root", "_text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    wanted = same.groupBy("root").agg(F.min_by(F.struct("_text", "n", "doc_id"), "_text").alias("w")).select(F.col("w._text").alias("_text"), F.col("w.n").alias("n"), F.col("w.doc_id").alias("doc_id"))
+    keys = common.stored(wanted.select(*id_, "_text", "n").distinct(), "representatives")
+    rows = docs.select("*", *id_, text)
+    by = ["_id", "_no_id", "_text"]
+    single = rows.join(keys.where("n = 1"), by, "left_semi")
+    repeated = rows.join(keys.where("n > 1"), by, "left_semi").dropDuplicates(by)
+    return single.unionAll(repeated).select(*docs.columns)

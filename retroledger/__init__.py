@@ -1,0 +1 @@
+"""A Spark-native engine over committed row-change logs: assemble, index, invert, check, resolve, apply, and trace."""

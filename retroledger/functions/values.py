@@ -40,7 +40,7 @@ def encoding_of(kind: Column) -> Column:
 def quoted(text: Column) -> Column:
     """Text as a JSON string."""
     made = F.to_json(F.array(text))
-    return F.substring(made, F.lit(2), F.length(made) - 2)
+    return F.when(text.isNotNull(), F.substring(made, F.lit(2), F.length(made) - 2))
 
 
 def unquoted(data: Column) -> Column:

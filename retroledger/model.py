@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 KINDS = ("integer", "decimal", "float", "text", "binary", "date", "time", "datetime", "json", "bit", "enum", "set", "unknown")
 OPS = ("insert", "update", "delete")
@@ -12,7 +12,18 @@ ROW = f"array<struct<column:string,value:{VALUE}>>"
 TABLE_REF = "struct<schema:string,name:string>"
 CHANGE_FIELDS = f"source_file string, pos long, txn_id string, commit_time timestamp_ntz, sequence long, table {TABLE_REF}, op string, before {ROW}, after {ROW}"
 OPERATION_FIELDS = f"txn_id string, sequence long, table {TABLE_REF}, kind string, key {ROW}, expect {ROW}, write {ROW}"
-CHANGE, OPERATION = StructType.fromDDL(CHANGE_FIELDS), StructType.fromDDL(OPERATION_FIELDS)
+_TABLE = StructType([StructField("schema", StringType()), StructField("name", StringType())])
+_VALUE = StructType([StructField("kind", StringType()), StructField("is_null", BooleanType()), *(StructField(c, StringType()) for c in ("encoding", "data", "native"))])
+_ROW = ArrayType(StructType([StructField("column", StringType()), StructField("value", _VALUE)]))
+
+
+def _schema(**types) -> StructType:
+    return StructType([StructField(k, t) for k, t in types.items()])
+
+
+#: The same two as types, which need no session.
+CHANGE = _schema(source_file=StringType(), pos=LongType(), txn_id=StringType(), commit_time=TimestampNTZType(), sequence=LongType(), table=_TABLE, op=StringType(), before=_ROW, after=_ROW)
+OPERATION = _schema(txn_id=StringType(), sequence=LongType(), table=_TABLE, kind=StringType(), key=_ROW, expect=_ROW, write=_ROW)
 CAPABILITIES = ("before_image", "after_image", "stable_id", "event_time_schema", "row_metadata", "transactions", "markers")
 
 

@@ -44,7 +44,12 @@ def overlapping(changes: DataFrame, last: int = 5) -> DataFrame:
     return changes.unionByName(again)
 
 
-GROUPINGS = {"event": F.col("event_id").cast("string"), "hour": F.date_format("ts", "yyyy-MM-dd-HH"), "day": F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))}
+def _grouping(name: str) -> Column:
+    if name == "event":
+        return F.col("event_id").cast("string")
+    if name == "hour":
+        return F.date_format("ts", "yyyy-MM-dd-HH")
+    return F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
 
 
 def _event_row(kind: Column, value: Column) -> Column:
@@ -59,7 +64,7 @@ def event_log(spark: SparkSession, sf_dir: str, grouping: str = "event") -> Data
     live = F.col("pt").isNotNull() & (F.col("pt") != "error")
     op = F.when(F.col("event_type") == "error", F.when(live, "delete")).when(live, "update").otherwise("insert")
     made = seen.withColumn("op", op).where("op is not null")
-    txn = F.concat(F.lit("evt:"), GROUPINGS[grouping])
+    txn = F.concat(F.lit("evt:"), _grouping(grouping))
     within = Window.partitionBy("txn_id").orderBy("ts", "event_id")
     return made.select(
         F.lit("events.000001").alias("source_file"), F.col("event_id").alias("pos"), txn.alias("txn_id"), F.col("ts").alias("commit_time"), _table("state").alias("table"), "op",

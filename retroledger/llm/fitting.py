@@ -21,33 +21,38 @@ def crc(key: object) -> int:
     return zlib.crc32(b"" if key is None else str(key).encode())
 
 
-def sample(df: DataFrame, rows: int, max_bytes: int) -> list[tuple[int, str]]:
-    """(doc_id, text) of the first rows by hash of doc_id whose texts fit in max_bytes together. One row for each id
-    (ids that repeat: their largest text). Null texts count as empty."""
-    sized = df.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
-    chosen, total = [], 0
+def sample(docs: DataFrame, ids: DataFrame | None, rows: int, max_bytes: int) -> list[tuple[int, str]]:
+    """(doc_id, text) of the first rows by hash of doc_id, of those in ids if given, whose texts fit in max_bytes together.
+    One row for each id (ids that repeat: their largest text). Null texts count as empty. Sizes are joined and ordered
+    first; only the texts of the chosen ids are read, by a broadcast of at most so many ids."""
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    if ids is not None:
+        sized = sized.join(ids, "doc_id", "left_semi")
     order = F.crc32(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")).cast("binary"))
-    for r in sized.where("doc_id is not null").orderBy(order, "doc_id").limit(rows).collect():
-        total += r["size"] or 0
-        if total > max_bytes and chosen:
+    chosen, total, met = [], 0, set()
+    for r in sized.where("doc_id is not null").orderBy(order, "doc_id", F.col("size").desc()).limit(2 * rows).collect():
+        if r["doc_id"] in met:
+            continue
+        total += r["size"]
+        if len(chosen) == rows or (total > max_bytes and chosen):
             break
+        met.add(r["doc_id"])
         chosen.append((r["doc_id"],))
     if not chosen:
         return []
-    ids = df.sparkSession.createDataFrame(chosen, df.select("doc_id").schema)
+    wanted = docs.sparkSession.createDataFrame(chosen, docs.select("doc_id").schema)
     found: dict[int, str] = {}
-    for r in df.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").toLocalIterator():  # at most rows ids
+    for r in docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi").toLocalIterator():
         text = r["text"] or ""
         if r["doc_id"] not in found or (len(text), text) > (len(found[r["doc_id"]]), found[r["doc_id"]]):
             found[r["doc_id"]] = text
     return sorted(found.items(), key=lambda x: (crc(f"sample:{x[0]}"), x[0]))
 
 
-def learnable(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
-    """doc_id, text and label of labelled documents whose id hash modulo modulus is not held. Rows of labels without a
-    label are left out; of contradictory rows the larger label counts."""
-    marks = labels.where(F.col(label).isin(0, 1) & (id_hash() % modulus != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+def learnable(labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
+    """doc_id and label of labelled documents whose id hash modulo modulus is not held. Rows of labels without a label are
+    left out; of contradictory rows the larger label counts."""
+    return labels.where(F.col(label).isin(0, 1) & (id_hash() % modulus != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:

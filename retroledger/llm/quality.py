@@ -81,10 +81,10 @@ def fit(texts_of: dict[int, list[str]], size: int = DICTIONARY_BYTES) -> Model |
     return Model(good, bad, tuple(fitting.logistic(x, y)))
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, rows: int = 4000, max_bytes: int = 16_000_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, rows: int = 3000, max_bytes: int = 10_000_000) -> Model | None:
     """Fits on labelled documents outside the held-out share (see fitting.learnable)."""
-    known = fitting.learnable(docs, labels, "quality", modulus, held)
-    return fit({k: [t for _, t in fitting.sample(known.where(f"label = {k}"), rows, max_bytes)] for k in (0, 1)})
+    known = fitting.learnable(labels, "quality", modulus, held)
+    return fit({k: [t for _, t in fitting.sample(docs, known.where(f"label = {k}"), rows, max_bytes)] for k in (0, 1)})
 
 
 def score(docs: DataFrame, model: Model | None, column: str = "text", carry: bool = True) -> DataFrame:

@@ -69,15 +69,15 @@ def _matrix(texts: list[str], bits: int) -> list[np.ndarray]:
         return out
     for t in common.texts([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]):
         words, at = features(t, bits)
-        out += np.split(words, at[1:-1])
+        out += np.split(words.astype(np.int32), at[1:-1])
     return out
 
 
 def _stack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return (np.concatenate(rows) if rows else np.zeros(0, np.int64)), np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int64)
+    return (np.concatenate(rows) if rows else np.zeros(0, np.int32)), np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int64)
 
 
-def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = 60, batches: int = 2, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = 150, batches: int = 1, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative risk."""
     rng = np.random.default_rng(seed)
     of = [np.bincount(np.concatenate(rows), minlength=1 << bits) for rows in (positive, unlabelled)]
@@ -85,7 +85,7 @@ def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     kept = np.flatnonzero((of[0] >= max(3, len(positive) // 200)) & (ratio > 0.5))  # words met once tell texts apart, not kinds
     n, number = len(kept), np.full(1 << bits, -1)
     number[kept] = np.arange(n)
-    positive, unlabelled = ([(y := number[x])[y >= 0] for x in rows] for rows in (positive, unlabelled))
+    positive, unlabelled = ([(y := number[x])[y >= 0].astype(np.int32) for x in rows] for rows in (positive, unlabelled))
     ratio = np.append(ratio[kept], 0.0)
     w = np.zeros(n + 1)  # a feature has the value of its ratio in every text that holds it
     w[n] = np.log(prior / (1 - prior))
@@ -130,14 +130,14 @@ def fit(toxic: list[str], clean: list[str], unlabelled: list[str], prior: float,
     return Model(w.astype(np.float32), b, float(max(scale, 1e-3)), float(shift))
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, positives: int = 4000, unlabelled: int = 6000, max_bytes: int = 24_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, positives: int = 3000, unlabelled: int = 4000, max_bytes: int = 12_000_000) -> Model:
     """Fits on documents outside the held-out share: labelled toxic ones, and unlabelled ones taken without regard to
     any label."""
-    known = fitting.learnable(docs, labels, "toxic", modulus, held)
+    known = fitting.learnable(labels, "toxic", modulus, held)
     count = {r["label"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1) & (fitting.id_hash() % modulus != held)).groupBy(F.col("toxic").cast("int").alias("label")).count().collect()}
-    toxic = fitting.sample(known.where("label = 1"), positives, max_bytes)
-    clean = fitting.sample(known.where("label = 0"), positives, max_bytes // 2)
-    free = fitting.sample(docs.select("doc_id", "text").where(fitting.id_hash() % modulus != held), unlabelled, max_bytes)
+    toxic = fitting.sample(docs, known.where("label = 1"), positives, max_bytes)
+    clean = fitting.sample(docs, known.where("label = 0"), positives, max_bytes // 2)
+    free = fitting.sample(docs.where(fitting.id_hash() % modulus != held), None, unlabelled, max_bytes)
     used = {i for i, _ in toxic[::3]} | {i for i, _ in clean}
     prior = count.get(1, 0) / max(sum(count.values()), 1)
     return fit([t for _, t in toxic], [t for _, t in clean], [t for i, t in free if i not in used], prior)

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
@@ -52,10 +54,24 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches hold at most so many rows in this session: documents are long, and each worker and executor holds
+    whole batches. Operators call this; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession) -> None:
-    """Collects garbage on both sides, so that Spark's cleaner removes the files of finished shuffles."""
+    """Collects garbage on both sides, so that Spark's cleaner removes the files of finished shuffles. Events that wait for
+    listeners still refer to them, so these are let through first."""
+    try:
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    except Py4JJavaError:  # a slow listener: the files go at a later call
+        pass
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def added(df: DataFrame, **types) -> StructType:

@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Python's \s also holds the four separators x1c-x1f, which are no white space in Unicode.
 _PATTERN = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\p{White_Space}\p{L}\p{N}])").replace(r"\s+(?!\S)", r"\p{White_Space}+(?!\P{White_Space})").replace(r"|\s+", r"|\p{White_Space}+"))
 #: Words whose ids a worker keeps at most; beyond it starts anew.
-CACHE = 300_000
+CACHE = 100_000
 NONE = np.int64(1 << 62)
 
 
@@ -156,21 +156,28 @@ def _others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c not in names]
 
 
-def encode(docs: DataFrame, path: str, column: str = "text", carry: bool = True) -> DataFrame:
-    """docs with ``ids``: the token ids of each whole text (array<int>), by the vocabulary file at path.
+def encode(docs: DataFrame, path: str, column: str = "text", carry: bool = True, packed: bool = False, decoded_to: str | None = None) -> DataFrame:
+    """docs with ``ids``: the token ids of each whole text (array<int>; packed: as little-endian 32-bit numbers in one
+    binary value), by the vocabulary file at path. decoded_to: a column for the text that the ids give back.
 
     The file is read on the driver and its arrays are broadcast (their size is that of the vocabulary). Without carry the result lacks the text."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    rest = _others(docs, "ids", *([] if carry else [column]))
+    rest = _others(docs, "ids", decoded_to or "ids", *([] if carry else [column]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for t in common.texts(batches, column):
+        for t in common.texts(batches, column, limit=500_000):
             ids, count = encoder.encode([x or "" for x in t.rows.column(column).to_pylist()])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(t.rows.column(c) for c in rest), lists], [*rest, "ids"])
+            ends = np.cumsum(count)
+            if packed:
+                lists = pa.array([x.tobytes() for x in np.split(ids.astype("<u4"), ends[:-1])], pa.binary())
+            else:
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            made = [lists] if decoded_to is None else [lists, pa.array([decoded(shared.value, x) for x in np.split(ids, ends[:-1])], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(t.rows.column(c) for c in rest), *made], [*rest, "ids", *([decoded_to] if decoded_to else [])])
 
-    return docs.mapInArrow(work, common.added(docs.select(*rest), ids="array<int>"))
+    return docs.mapInArrow(work, common.added(docs.select(*rest), ids="binary" if packed else "array<int>", **({decoded_to: "string"} if decoded_to else {})))
 
 
 def decode(df: DataFrame, path: str, to: str = "decoded") -> DataFrame:

@@ -6,6 +6,7 @@ operations. A buffer holds about ``CHUNK`` bytes (or one longer document), which
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -64,14 +65,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def release(spark: SparkSession) -> None:
     """Collects garbage on both sides, so that Spark's cleaner removes the files of finished shuffles. Events that wait for
-    listeners still refer to them, so these are let through first."""
+    listeners still refer to them, so these are let through first; what a first collection sets free holds others."""
+    for _ in range(2):
+        try:
+            spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        except Py4JJavaError:  # a slow listener: the files go at a later call
+            pass
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system; idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
     try:
-        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    except Py4JJavaError:  # a slow listener: the files go at a later call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
         pass
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.3)
 
 
 def added(df: DataFrame, **types) -> StructType:
@@ -107,6 +118,7 @@ def texts(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), rows.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield Texts(rows.slice(a, b - a), column)
+    trim()
 
 
 def byte_table(members: Iterable[int]) -> np.ndarray:

@@ -39,6 +39,7 @@ def tokens(t: common.Texts) -> tuple[np.ndarray, np.ndarray]:
 def build(docs: DataFrame, column: str = "text", terms: np.ndarray | None = None) -> DataFrame:
     """The index of docs (doc_id and text): rows of doc_ids, words (their numbers), and packed terms, counts and positions.
     With terms (sorted hashes) only these are indexed."""
+    common.small_batches(docs.sparkSession)
     sieve = None
     if terms is not None:
         sieve = np.zeros(1 << 20, bool)

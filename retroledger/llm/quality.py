@@ -89,6 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, rows: int
 
 def score(docs: DataFrame, model: Model | None, column: str = "text", carry: bool = True) -> DataFrame:
     """docs with ``score``: the probability (0 to 1) that a text is good. Without carry the result lacks the text."""
+    common.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "score" and (carry or c != column)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,6 +88,7 @@ def counts(t: common.Texts) -> dict[str, np.ndarray]:
 def measure(docs: DataFrame, column: str = "text", carry: bool = True) -> DataFrame:
     """docs with the counts of each text and base_failed: fewer than 20 words, or over 30 % of them in repeated windows.
     Without carry the result lacks the text."""
+    common.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (*COUNTS, "base_failed") and (carry or c != column)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +161,27 @@ def _estimates(groups: DataFrame) -> DataFrame:
     return groups.mapInPandas(work, schema)
 
 
-def judge(stats: DataFrame, cut: float = 30.0, steps: int = 5, least: int = 100) -> DataFrame:
-    """stats (with the columns of measure(), lang and source) with ``distance`` (null for groups without an estimate) and
-    ``kept``: false if base_failed or the distance is above cut."""
-    rest = [c for c in stats.columns if c not in ("distance", "kept")]
-    name = lambda *parts: F.to_json(F.array(*parts))  # noqa: E731  distinct for distinct values, nulls included
+def _grouped(stats: DataFrame, keys: DataFrame) -> DataFrame:
+    """stats with _g, the group of each row, and the transformed statistics _x0 and so on."""
+    rates = [F.log(F.col(a) / (F.col(b) + y) + x / y if rare else (F.col(a) + x) / (F.col(b) + y)).alias(f"_x{i}") for i, (_, a, b, x, y, rare, _) in enumerate(RATES)]
+    return stats.withColumn("_key", _name(F.col("lang").cast("string"), F.col("source").cast("string"))).join(keys, "_key").select(*stats.columns, "_g", *rates)
+
+
+def _name(*parts: Column) -> Column:
+    """One text for some values, distinct for distinct ones, nulls included."""
+    return F.to_json(F.array(*parts))
+
+
+def estimate(stats: DataFrame, steps: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """From the columns of measure(), lang and source: the group of each language and source, and the robust centre and
+    inverse covariance of each group that is large enough. Both are stored, a row for each source or group."""
     star = F.lit("\u0000rest")
     lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
-    of_pair = stats.groupBy(name(lang, source).alias("_key"), lang.alias("_lang")).count()
-    few = of_pair.where(F.col("count") < least).groupBy(name(F.col("_lang")).alias("_name")).agg(F.sum("count").alias("_few"))
-    group = F.when(F.col("count") >= least, F.col("_key")).when(F.col("_few") >= least, name(F.col("_lang"), star)).otherwise(name(star, star))
-    keys = of_pair.withColumn("_name", name(F.col("_lang"))).join(few, "_name", "left").select("_key", group.alias("_g"))
-    rates = [F.log(F.col(a) / (F.col(b) + y) + x / y if rare else (F.col(a) + x) / (F.col(b) + y)).alias(f"_x{i}") for i, (_, a, b, x, y, rare, _) in enumerate(RATES)]
-    rows = stats.withColumn("_key", name(lang, source)).join(keys, "_key").select(*rest, "_g", *rates)
-    good = rows.where(~F.col("base_failed"))  # texts that fail the hard rules say nothing about the others
+    of_pair = stats.groupBy(_name(lang, source).alias("_key"), lang.alias("_lang")).count()
+    few = of_pair.where(F.col("count") < least).groupBy(_name(F.col("_lang")).alias("_name")).agg(F.sum("count").alias("_few"))
+    group = F.when(F.col("count") >= least, F.col("_key")).when(F.col("_few") >= least, _name(F.col("_lang"), star)).otherwise(_name(star, star))
+    keys = common.stored(of_pair.withColumn("_name", _name(F.col("_lang"))).join(few, "_name", "left").select("_key", group.alias("_g")), "groups")
+    good = _grouped(stats, keys).where(~F.col("base_failed"))  # texts that fail the hard rules say nothing about the others
     large = good.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_g")
 
     middle = good.join(large, "_g", "left_semi").groupBy("_g").agg(*(F.percentile_approx(_x(i), 0.5, 1000).alias(f"_m{i}") for i in range(P)))
@@ -187,25 +195,30 @@ def judge(stats: DataFrame, cut: float = 30.0, steps: int = 5, least: int = 100)
         sums = [F.sum(_x(i)).alias(f"_s{i}") for i in range(P)] + [F.sum(_x(i) * _x(j)).alias(f"_p{i}_{j}") for i in range(P) for j in range(i, P)]
         before, now = now, common.stored(_estimates(part.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *sums)), "mcd-step")
         common.forget(before)
-    out = rows.join(now, "_g", "left").select(*rest, distance().alias("distance"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut))
+    return keys, now
 
 
-def apply(docs: DataFrame, column: str = "text", **parameters: float) -> DataFrame:
-    """measure() and judge(); the counts are written once, as every concentration step reads them. The text itself is
-    not carried along."""
-    return judge(common.stored(measure(docs, column, carry=False), "text-statistics"), **parameters)
+def verdict(stats: DataFrame, keys: DataFrame, now: DataFrame, cut: float = 30.0) -> DataFrame:
+    """stats with ``distance`` (null for groups without an estimate) and ``kept``: false if base_failed or the distance is
+    above cut."""
+    rest = [c for c in stats.columns if c not in ("distance", "kept")]
+    out = _grouped(stats.select(*rest), keys).join(now, "_g", "left").select(*rest, distance().alias("distance"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut))
 
 
-def _row_key(column: str) -> tuple:
-    """What tells rows apart here: the id and a hash of the text, both without nulls."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.xxhash64(F.coalesce(column, F.lit("")), F.col("lang"), F.col("source")).alias("_text")
+def apply(docs: DataFrame, column: str = "text", cut: float = 30.0, steps: int = 5, least: int = 100) -> DataFrame:
+    """The statistics and verdict of each row. The counts are written once, as every concentration step reads them; the text
+    itself is not carried along."""
+    stats = common.stored(measure(docs, column, carry=False), "text-statistics")
+    return verdict(stats, *estimate(stats, steps, least), cut)
 
 
-def keep(docs: DataFrame, column: str = "text", **parameters: float) -> DataFrame:
-    """The rows of docs that apply() keeps, with all their columns. Few rows are rejected as a rule, so the rejected ones
-    are found and taken away."""
-    rows = docs.select("*", *_row_key(column))
-    judged = apply(rows.select("_id", "_no_id", "_text", column, "lang", "source"), column, **parameters)
-    rejected = common.stored(judged.where(~F.col("kept")).select("_id", "_no_id", "_text").distinct(), "rejected")
-    return rows.join(rejected, ["_id", "_no_id", "_text"], "left_anti").select(*docs.columns)
+def keep(docs: DataFrame, column: str = "text", cut: float = 30.0, steps: int = 5, least: int = 100) -> DataFrame:
+    """The rows of docs that apply() keeps, with all their columns. Texts are measured again rather than joined with their
+    verdicts, so no text is shuffled."""
+    stats = common.stored(measure(docs.select(column, "lang", "source"), column, carry=False), "text-statistics")
+    keys, now = estimate(stats, steps, least)
+    common.forget(stats)
+    own = {c: f"_own_{c}" for c in docs.columns if c in (*COUNTS, "base_failed", "distance", "kept")}
+    judged = verdict(measure(docs.withColumnsRenamed(own), column), keys, now, cut).where("kept")
+    return judged.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))

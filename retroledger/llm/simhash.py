@@ -116,10 +116,11 @@ def fingerprints_of(t: common.Texts, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, column: str = "text", shingle: int = SHINGLE, carry: bool = True) -> DataFrame:
     """docs with ``fp``: the 64-bit fingerprint of each text as a signed integer. Without carry the result lacks the text."""
+    common.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "fp" and (carry or c != column)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.texts(batches, column, limit=1_000_000):
+        for t in common.texts(batches, column, limit=500_000):
             made = fingerprints_of(t, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(t.rows.column(c) for c in rest), pa.array(made)], [*rest, "fp"])
 
@@ -133,7 +134,7 @@ def ball(half: int) -> np.ndarray:
 
 SPREAD = 0xD1342543DE82EF95
 GATHER = pow(SPREAD, -1, 1 << 64)
-SLAB = 1000
+SLAB = 500
 
 
 def _emit(masks: np.ndarray, low: int, high: int, buckets: int):
@@ -144,7 +145,7 @@ def _emit(masks: np.ndarray, low: int, high: int, buckets: int):
         pending: list[np.ndarray] = []
         for rows in batches:
             pending.append(rows.column(0).to_numpy().view(U))
-            if sum(map(len, pending)) >= 32 * SLAB:
+            if sum(map(len, pending)) >= 8 * SLAB:
                 yield from flush(pending)
                 pending = []
         if pending:
@@ -195,6 +196,8 @@ def _meet(masks: np.ndarray):
         other = least != fp
         pairs = np.unique(np.column_stack([least[other], fp[other]]), axis=0)
         pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS]  # holds for all; the check of the method
+        del key, flip, ordered, sieve
+        common.trim()
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)), "b": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))})
 
     return work

@@ -309,6 +309,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_wor
     word is removed that lies in a window of words which also starts earlier (in a text of smaller doc_id, or before in
     the same text). Without carry the result lacks the text and all columns but doc_id."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     rest = [c for c in docs.columns if c not in ADDED and (carry or c == "doc_id")]
     text = F.coalesce("text", F.lit(""))
     key, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.hash(text).alias("tag")  # the tag tells rows of one id apart

@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, positives
 
 def score(docs: DataFrame, model: Model, column: str = "text", carry: bool = True) -> DataFrame:
     """docs with ``score``: the probability (0 to 1) that a text is toxic. Without carry the result lacks the text."""
+    common.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "score" and (carry or c != column)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

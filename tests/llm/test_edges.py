@@ -129,6 +129,8 @@ def test_bpe(spark, docs):
     for r in bpe.decode(bpe.encode(docs, path), path).collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+    both = bpe.encode(docs, path, carry=False, packed=True, decoded_to="back").collect()
+    assert all(r.back == (TEXTS[r.extra][1] or "") and np.frombuffer(r.ids, "<u4").tolist() == library.encode(r.back, add_special_tokens=False).ids for r in both)
     odd = ["aaaaaaa", "'s't", "\x1c\x1d \x85 ​ ", "日本語123４５", "a\x00b", "".join(map(chr, range(0x2000, 0x2100)))]
     ids, count = bpe.Encoder(bpe.Vocabulary(path)).encode(odd)
     assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in odd]

@@ -43,7 +43,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    read = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    read = bpe.encode(docs.select("doc_id", "text"), path, decoded_to="decoded")
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -7,7 +7,7 @@ followers, c(h) the count. The root has an arc for each word seen, and a last ar
 discounted mass. A text is traversed once from left to right: the state after a word is that word's own, so the carried
 states of a whole block of texts are known at once and each step is an array lookup.
 
-The automaton of a large corpus fits no worker. Texts are stored in blocks; each block asks for the counts of its own words
+The automaton of a large corpus fits no worker. Texts are dealt into blocks by hash; each block asks for the counts of its own words
 and bigrams and builds the part of the automaton that its texts can reach, which gives the same scores. Requests and
 answers travel packed, by hash buckets: first words, then bigrams by their first word. Words so frequent that their bigrams
 would fill a bucket are spread over several. All counts are over all training texts, without pruning.
@@ -18,35 +18,18 @@ often as they stand and score alike; null ids are kept; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
-BLOCK, BUCKET = 4_000_000, 1_500_000
+BLOCK, BUCKET = 3_000_000, 1_500_000
 U = np.uint64
 START, END = U(0x5BD1E9955BD1E995), U(0x27D4EB2F27D4EB2F)
-_ANSWER = "block string, bucket int, packed binary, tokens long, types long, ones long, twos long"
-
-
-def blocks(docs: DataFrame, train: Column, column: str = "text", size: int = BLOCK) -> DataFrame:
-    """Rows of about size bytes of text: block, doc_ids, train, texts, n (tokens)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for t in common.texts(batches, "text", limit=size):
-            starts, _ = common.spans(t.buf, common.PLAIN)
-            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t.rows.column(c))
-            yield pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{number}"]), whole("doc_id"), whole("train"), whole("text"), pa.array([len(starts) + len(t)], pa.int64())], ["block", "doc_ids", "train", "texts", "n"])
-            number += 1
-
-    df = docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), F.col(column).alias("text"))
-    return df.mapInArrow(work, f"block string, doc_ids array<{dict(df.dtypes)['doc_id']}>, train array<boolean>, texts array<string>, n long")
+_ANSWER = "block long, bucket int, packed binary, tokens long, types long, ones long, twos long"
 
 
 class Block:
@@ -102,32 +85,29 @@ class Block:
         return context[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), pairs, np.searchsorted(entry[pairs], np.arange(len(order) + 1))
 
 
-def _opened(rows: pa.RecordBatch, bigrams: bool = True) -> Iterator[tuple[str, pa.Array, np.ndarray, Block]]:
-    for i in range(rows.num_rows):
-        train = rows.column("train")[i].values.to_numpy(zero_copy_only=False).astype(bool)
-        yield rows.column("block")[i].as_py(), rows.column("doc_ids")[i].values, train, Block(rows.column("texts")[i].values, train, bigrams)
+def _opened(table: pa.Table, bigrams: bool = True) -> Block:
+    return Block(table.column("text").combine_chunks(), table.column("train").to_numpy().astype(bool), bigrams)
 
 
-def _requests(found: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
-    bucket, block, packed = zip(*found) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(block, pa.string()), pa.array(packed, pa.binary())], ["bucket", "block", "packed"])
+def _requests(block: pa.Scalar, found: list[tuple[int, bytes]]) -> pa.Table:
+    bucket, packed = zip(*found)
+    return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([block.as_py()] * len(found), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
 def _answers(table: pa.Table, packed: list[bytes], summary: bytes, totals: list[int]) -> pa.Table:
     """The answers to the requests of a bucket, and a last row (without a block) of the bucket's totals."""
     n = len(packed)
     return pa.table({
-        "block": pa.array([*table.column("block").to_pylist(), None], pa.string()), "bucket": pa.array([*table.column("bucket").to_pylist(), table.column("bucket")[0].as_py()], pa.int32()),
+        "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()), "bucket": pa.array([*table.column("bucket").to_pylist(), table.column("bucket")[0].as_py()], pa.int32()),
         "packed": pa.array([*packed, summary], pa.binary()), **{c: pa.array([None] * n + [int(x)], pa.int64()) for c, x in zip(("tokens", "types", "ones", "twos"), totals)},
     })
 
 
 def ask_words(buckets: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for name, _, _, b in _opened(rows, bigrams=False):
-                order, at = b.word_order(buckets)
-                yield _requests([(k, name, common.pack([b.word[x], *common.small(b.word_count[x])])) for k in range(buckets) if len(x := order[at[k] : at[k + 1]])])
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        b = _opened(table, bigrams=False)
+        order, at = b.word_order(buckets)
+        return _requests(key[0], [(k, common.pack([b.word[x], *common.small(b.word_count[x])])) for k in range(buckets) if len(x := order[at[k] : at[k + 1]])])
 
     return work
 
@@ -148,17 +128,16 @@ def answer_words(hot: int):
 
 
 def ask_pairs(buckets: int, hot: tuple[np.ndarray, np.ndarray]):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for name, _, _, b in _opened(rows):
-                context, at, pairs, begin = b.pair_order(buckets, hot)
-                found = []
-                for k in range(buckets):
-                    lo, hi = at[k], at[k + 1]
-                    if lo < hi:
-                        own = pairs[begin[lo] : begin[hi]]
-                        found.append((k, name, common.pack([b.context[context[lo:hi]], *common.small(np.diff(begin[lo : hi + 1])), b.word[b.right[own]], *common.small(b.pair_count[own])])))
-                yield _requests(found)
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        b = _opened(table)
+        context, at, pairs, begin = b.pair_order(buckets, hot)
+        found = []
+        for k in range(buckets):
+            lo, hi = at[k], at[k + 1]
+            if lo < hi:
+                own = pairs[begin[lo] : begin[hi]]
+                found.append((k, common.pack([b.context[context[lo:hi]], *common.small(np.diff(begin[lo : hi + 1])), b.word[b.right[own]], *common.small(b.pair_count[own])])))
+        return _requests(key[0], found)
 
     return work
 
@@ -216,28 +195,25 @@ class Automaton:
 
 def _finish(buckets: tuple[int, int], hot: tuple[np.ndarray, np.ndarray], words: Totals, pairs: Totals):
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.combine_chunks().to_batches()
-        answers = {(k, b): common.unpack(p) for k, b, p in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "packed")))}
-        out = []
-        for _, ids, train, b in (x for r in rows for x in _opened(r)):
-            order, at = b.word_order(buckets[0])
-            word_count = np.zeros(len(b.word), np.int64)
-            for k in range(buckets[0]):
-                if at[k] < at[k + 1]:
-                    word_count[order[at[k] : at[k + 1]]] = common.unsmall(*answers["w", k])
-            context, at, own, begin = b.pair_order(buckets[1], hot)
-            followers, pair_count = np.zeros(len(b.context), np.int64), np.zeros(len(b.left), np.int64)
-            for k in range(buckets[1]):
-                if at[k] < at[k + 1]:
-                    a = answers["p", k]
-                    np.add.at(followers, context[at[k] : at[k + 1]], common.unsmall(a[0], a[1]))
-                    pair_count[own[begin[at[k]] : begin[at[k + 1]]]] = common.unsmall(a[2], a[3])
-            score = Automaton(b, word_count, followers, pair_count, words, pairs).traverse(b)
-            base = np.log10((word_count + 1) / (words.tokens + words.types + 1))[b.of_word]
-            known = (word_count > 0)[b.of_word]
-            sums = lambda x: np.add.reduceat(x, b.first) if len(b.first) else x[:0]
-            out.append(pa.table({"doc_id": ids, "train": pa.array(train), "n_tokens": pa.array(b.size), "n_known": pa.array(sums(known.astype(np.int64))), "base_score": pa.array(sums(base)), "score": pa.array(score)}))
-        return pa.concat_tables(out)
+        answers = {(k, b): p for k, b, p in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "packed")))}
+        b = _opened(left)
+        order, at = b.word_order(buckets[0])
+        word_count = np.zeros(len(b.word), np.int64)
+        for k in range(buckets[0]):
+            if at[k] < at[k + 1]:
+                word_count[order[at[k] : at[k + 1]]] = common.unsmall(*common.unpack(answers["w", k]))
+        context, at, own, begin = b.pair_order(buckets[1], hot)
+        followers, pair_count = np.zeros(len(b.context), np.int64), np.zeros(len(b.left), np.int64)
+        for k in range(buckets[1]):
+            if at[k] < at[k + 1]:
+                a = common.unpack(answers["p", k])
+                np.add.at(followers, context[at[k] : at[k + 1]], common.unsmall(a[0], a[1]))
+                pair_count[own[begin[at[k]] : begin[at[k + 1]]]] = common.unsmall(a[2], a[3])
+        score = Automaton(b, word_count, followers, pair_count, words, pairs).traverse(b)
+        base = np.log10((word_count + 1) / (words.tokens + words.types + 1))[b.of_word]
+        known = (word_count > 0)[b.of_word]
+        sums = {"n_known": np.add.reduceat(known.astype(np.int64), b.first), "base_score": np.add.reduceat(base, b.first)}
+        return pa.table({"doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": pa.array(b.size), **{k: pa.array(v) for k, v in sums.items()}, "score": pa.array(score)})
 
     return work
 
@@ -245,30 +221,35 @@ def _finish(buckets: tuple[int, int], hot: tuple[np.ndarray, np.ndarray], words:
 def score(docs: DataFrame, train: Column, column: str = "text", block_bytes: int = BLOCK, bucket_size: int = BUCKET) -> DataFrame:
     """One row for each document: doc_id, train, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score.
     train says which rows are learnt from."""
-    stored = common.stored(blocks(docs, train, column, block_bytes), "blocks")
-    every, number = stored.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(column), F.lit(""))
+    rows = docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
+    size, number = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.count(F.lit(1))).head()
+    every = size // 6 + number  # about as many tokens; only sizes of buckets depend on it
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block_bytes))))
+    blocks = rows.withColumn("block", block)
     buckets = (max(1, -(-every // (6 * bucket_size))), max(1, -(-every // (2 * bucket_size))))  # a block's words and bigrams are fewer than its tokens
     hot_from = max(4 * every // buckets[1], 1)
 
     def totals(df: DataFrame) -> Totals:
         return Totals(*df.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ones", "twos"))).head())
 
-    word_answers = common.stored(stored.mapInArrow(ask_words(buckets[0]), "bucket int, block string, packed binary").groupBy("bucket").applyInArrow(answer_words(hot_from), _ANSWER), "words")
-    common.release(docs.sparkSession)
+    word_answers = common.stored(blocks.groupBy("block").applyInArrow(ask_words(buckets[0]), "bucket int, block long, packed binary").groupBy("bucket").applyInArrow(answer_words(hot_from), _ANSWER), "words")
+    common.release(spark)
     words = totals(word_answers)
     # A hot word stands hot_from times at least, so there are fewer than buckets / 4 of them
     reported = [common.unpack(bytes(r[0])) for r in word_answers.where("block is null and tokens >= %d" % hot_from).select("packed").collect()]
     hash_, count = (np.concatenate([np.zeros(0, U), *(x[i] for x in reported)]) for i in (0, 1))
-    starts = [words_of_end for words_of_end in [count[hash_ == END]] if len(words_of_end)]
-    hash_, count = np.append(hash_, START if starts else np.zeros(0, U)), np.append(count, starts[0] if starts else np.zeros(0, U))
+    ends = count[hash_ == END]  # as many texts start as end
+    hash_, count = np.append(hash_, np.full(len(ends), START, U)), np.append(count, ends)
     order = np.argsort(hash_)
     hot = hash_[order], np.minimum(1 + (count[order] * U(buckets[1]) // U(max(every, 1))).astype(np.int64), buckets[1])
 
-    pair_answers = common.stored(stored.mapInArrow(ask_pairs(buckets[1], hot), "bucket int, block string, packed binary").groupBy("bucket").applyInArrow(answer_pairs, _ANSWER), "pairs")
-    common.release(docs.sparkSession)
+    pair_answers = common.stored(blocks.groupBy("block").applyInArrow(ask_pairs(buckets[1], hot), "bucket int, block long, packed binary").groupBy("bucket").applyInArrow(answer_pairs, _ANSWER), "pairs")
+    common.release(spark)
     pairs = totals(pair_answers)
     kind = lambda df, k: df.where("block is not null").select("block", F.lit(k).alias("kind"), "bucket", "packed")
     answers = kind(word_answers, "w").unionAll(kind(pair_answers, "p"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, train boolean, n_tokens long, n_known long, base_score double, score double"
-    out = stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(buckets, hot, words, pairs), schema)
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(buckets, hot, words, pairs), schema)
     return out.withColumn("train_tokens", F.lit(words.tokens).cast("long"))

@@ -7,8 +7,9 @@ covariance, the 75 % nearest texts, their mean and covariance, and so on; each s
 is the median and the median absolute deviation. A text whose squared Mahalanobis distance is above ``cut`` is rejected.
 All rows take part in every step; each step is two aggregations with partial sums, so a hot source is no single task's work.
 
-Groups of fewer than ``least`` rows join the small groups of their language, or of all languages if these are few too;
-groups that stay below ``least`` reject nothing by distance. A floor on each variance keeps constant statistics invertible.
+Groups of fewer than ``least`` rows that pass the hard rules join the small groups of their language, or of all languages if
+these are few too; what stays below ``least`` is measured by an estimate over the whole corpus, however small that is. So
+each row has a distance, unless no row passes. A floor on each variance keeps constant statistics invertible.
 
 Edge cases: null and empty texts have no words and fail the hard rules; null language or source is a group of its own;
 ties and repeated rows share one fate; an empty table gives an empty result; other columns pass through except those that
@@ -18,7 +19,7 @@ the result adds.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,32 +175,46 @@ def _name(*parts: Column) -> Column:
 
 def estimate(stats: DataFrame, steps: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """From the columns of measure(), lang and source: the group of each language and source, and the robust centre and
-    inverse covariance of each group that is large enough. Both are stored, a row for each source or group."""
+    inverse covariance of each group. Both are stored, a row for each source or group. Only rows that pass the hard rules
+    count, as texts that fail them say nothing about the others."""
     star = F.lit("\u0000rest")
     lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
-    of_pair = stats.groupBy(_name(lang, source).alias("_key"), lang.alias("_lang")).count()
-    few = of_pair.where(F.col("count") < least).groupBy(_name(F.col("_lang")).alias("_name")).agg(F.sum("count").alias("_few"))
-    group = F.when(F.col("count") >= least, F.col("_key")).when(F.col("_few") >= least, _name(F.col("_lang"), star)).otherwise(_name(star, star))
-    keys = common.stored(of_pair.withColumn("_name", _name(F.col("_lang"))).join(few, "_name", "left").select("_key", group.alias("_g")), "groups")
-    good = _grouped(stats, keys).where(~F.col("base_failed"))  # texts that fail the hard rules say nothing about the others
-    large = good.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_g")
-
-    middle = good.join(large, "_g", "left_semi").groupBy("_g").agg(*(F.percentile_approx(_x(i), 0.5, 1000).alias(f"_m{i}") for i in range(P)))
+    of_pair = stats.groupBy(_name(lang, source).alias("_key"), lang.alias("_lang")).agg(F.count_if(~F.col("base_failed")).alias("_n"))
+    few = of_pair.where(F.col("_n") < least).groupBy(_name(F.col("_lang")).alias("_name")).agg(F.sum("_n").alias("_few"))
+    group = F.when(F.col("_n") >= least, F.col("_key")).when(F.col("_few") >= least, _name(F.col("_lang"), star)).otherwise(_name(star, star))
+    sized = common.stored(of_pair.withColumn("_name", _name(F.col("_lang"))).join(few, "_name", "left").select("_key", group.alias("_g"), "_n"), "groups")
+    keys = sized.select("_key", "_g")
+    rest = sized.where(F.col("_g") == _name(star, star)).agg(F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("rows")).head()
+    good = _grouped(stats, keys).where(~F.col("base_failed"))
+    if not rest["keys"] or rest["rows"] >= least:
+        return keys, _concentrate(good, steps)
+    own = _concentrate(good.where(F.col("_g") != _name(star, star)), steps)
+    whole = _concentrate(good.withColumn("_g", _name(star, star)), steps, F.broadcast)
+    both = common.stored(own.unionByName(whole), "mcd")
+    for part in (own, whole):
+        common.forget(part)
+    return keys, both
+
+
+def _concentrate(good: DataFrame, steps: int, small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The robust centre and inverse covariance of each group of good, stored. small marks tables of one row a group, which
+    must be few if it broadcasts them."""
+    middle = small(good.groupBy("_g").agg(*(F.percentile_approx(_x(i), 0.5, 1000).alias(f"_m{i}") for i in range(P))))
     spread = good.join(middle, "_g").groupBy("_g").agg(*(F.first(f"_m{i}").alias(f"_m{i}") for i in range(P)), *(F.percentile_approx(F.abs(_x(i) - F.col(f"_m{i}")), 0.5, 1000).alias(f"_d{i}") for i in range(P)))
     inverse = [1 / ((1.4826 * F.col(f"_d{i}")) ** 2 + RATES[i][-1] ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
     now = common.stored(spread.select("_g", F.array(*(F.col(f"_m{i}") for i in range(P))).alias("_mean"), F.array(*inverse).alias("_inverse")), "mcd-start")
     for _ in range(steps):
-        far = good.join(now, "_g").withColumn("_d", distance())
-        near = far.groupBy("_g").agg(F.percentile_approx("_d", NEAREST, 1000).alias("_cut"))
+        far = good.join(small(now), "_g").withColumn("_d", distance())
+        near = small(far.groupBy("_g").agg(F.percentile_approx("_d", NEAREST, 1000).alias("_cut")))
         part = far.join(near, "_g").where(F.col("_d") <= F.col("_cut"))
         sums = [F.sum(_x(i)).alias(f"_s{i}") for i in range(P)] + [F.sum(_x(i) * _x(j)).alias(f"_p{i}_{j}") for i in range(P) for j in range(i, P)]
         before, now = now, common.stored(_estimates(part.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *sums)), "mcd-step")
         common.forget(before)
-    return keys, now
+    return now
 
 
 def verdict(stats: DataFrame, keys: DataFrame, now: DataFrame, cut: float = 30.0) -> DataFrame:
-    """stats with ``distance`` (null for groups without an estimate) and ``kept``: false if base_failed or the distance is
+    """stats with ``distance`` (null only where no row at all passes the hard rules) and ``kept``: false if base_failed or the distance is
     above cut."""
     rest = [c for c in stats.columns if c not in ("distance", "kept")]
     out = _grouped(stats.select(*rest), keys).join(now, "_g", "left").select(*rest, distance().alias("distance"))

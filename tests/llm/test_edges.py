@@ -220,6 +220,26 @@ def test_outliers_are_found(spark):
     assert {r.doc_id for r in rules.keep(df).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_small_groups_are_judged(spark):
+    rng = np.random.default_rng(1)
+    text = lambda n: " ".join("abcdefgh"[: rng.integers(2, 9)] + str(rng.integers(0, 10**6)) for _ in range(n)) + "."
+    odd = lambda: " ".join(f"{w}$$$###" for w in text(80).split())
+    rows = [(text(150), "en", "a") for _ in range(120)]
+    rows += [(x, "es", f"s{n % 4}") for n, x in enumerate([*(text(150) for _ in range(70)), odd(), *["too short"] * 60])]  # 100 rows only with those that fail
+    rows += [(x, "fr", "b") for x in [*(text(150) for _ in range(80)), odd(), *["too short"] * 30]]  # the pair too
+    rows += [(text(150), "fr", "c") for _ in range(40)] + [(odd(), None, None), (text(150), "de", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    judged = rules.apply(df).collect()
+    assert len(judged) == len(rows) and all(r.distance is not None for r in judged if not r.base_failed)
+    assert not any(r.kept for r in judged if "$$$" in rows[r.doc_id][0]) and sum(r.kept for r in judged) >= 305  # of 311 plain ones
+    groups = {tuple(json.loads(r._key)): r._g for r in rules.estimate(rules.measure(df))[0].collect()}
+    assert groups["fr", "b"] == groups["fr", "c"] != groups["es", "s0"] == groups[None, None] == groups["de", None] and groups["en", "a"] == '["en","a"]'
+    few = rules.apply(df.where("doc_id < 7 or doc_id in (195, 196)")).collect()
+    assert all((r.distance is None) == r.base_failed == False for r in few if r.doc_id < 7)  # noqa: E712
+    none = rules.apply(df.where("doc_id = 195")).collect()
+    assert [(r.base_failed, r.kept, r.distance) for r in none] == [(True, False, None)]
+
+
 def test_licences(docs):
     got = {r.extra: r for r in licences.scan(docs).collect()}
     for n, (_, t) in enumerate(TEXTS):

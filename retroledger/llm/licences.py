@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-A text is reduced to its words (lower case, one space between). Each rule is a regular expression over such text with a
-keyword, a label and a tier. Rules whose keyword does not occur are left out, text by text; those left are joined, in
+A text is reduced to its words (lower case, one space between). Each rule is a regular expression over such text with
+keywords, a label and a tier. Rules of which no keyword occurs are left out, text by text; those left are joined, in
 their order, into one alternation for each tier. A tier's matches are then masked, so a later tier finds nothing inside
 or across an interval that an earlier one has taken; within a tier the leftmost match wins, then the earlier rule, and
 rules stand longest name first. Every step is linear in the text. Base phrases are found apart from the rules and always
@@ -15,6 +15,7 @@ repeated rows are scanned alike; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,15 +23,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Bytes that separate words, once text is lower-case.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Any text with a license or a base phrase holds one of these.
-GATE = ("licen", "copyright", "rights reserved", "spdx", "cc by", "cc0", "creative commons", "public domain", "warranty", "redistribut", "proprietary", "confidential", "permission", "copyleft", "gpl", "unlicense", "terms of use")
 
-#: Label, keyword, name (pattern over words), identifier words.
+#: Label, keyword (or several, one of which stands in whatever the name accepts), name (pattern over words), identifier words.
 LICENSES = (
     ("apache-2.0", "apache", "apache(?: software)? license(?: version)? 2(?: 0)?", "apache 2(?: 0)?"),
     ("apache-1.1", "apache", "apache(?: software)? license(?: version)? 1 1", "apache 1 1"),
     ("mit", "mit", "mit license", "mit"),
-    ("mit-0", "mit", "mit no attribution(?: license)?", "mit 0"),
+    ("mit-0", "mit no attribution", "mit no attribution(?: license)?", "mit 0"),
     ("isc", "isc", "isc license", "isc"),
     ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause)(?: license)?", "0bsd"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd 2 clause"),
@@ -40,7 +39,7 @@ LICENSES = (
     ("agpl-3.0", "affero", "(?:gnu )?affero general public license(?: version| v)? ?3?(?: 0)?", "agpl 3 0(?: only| or later)?"),
     ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public license(?: version| v) ?2 1", "lgpl 2 1(?: only| or later)?"),
     ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public license(?: version| v) ?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "l", "(?:gnu )?(?:lesser|library) general public license", "lgpl"),
+    ("lgpl", ("lesser", "library"), "(?:gnu )?(?:lesser|library) general public license", "lgpl"),
     ("gpl-1.0", "general public", "(?:gnu )?general public license(?: version| v) ?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
     ("gpl-2.0", "general public", "(?:gnu )?general public license(?: version| v) ?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("gpl-3.0", "general public", "(?:gnu )?general public license(?: version| v) ?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
@@ -51,7 +50,7 @@ LICENSES = (
     ("epl-1.0", "eclipse", "eclipse public license(?: version| v)? ?1 0", "epl 1 0"),
     ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? ?2 0", "epl 2 0"),
     ("edl-1.0", "eclipse", "eclipse distribution license(?: version| v)? ?1 0", "edl 1 0"),
-    ("cddl-1.0", "development and distribution", "common development and distribution license(?: version)?(?: 1 0)?", "cddl 1 0"),
+    ("cddl-1.0", "development and distribution", "common development and distribution license(?! version 1 1)(?: version)?(?: 1 0)?", "cddl 1 0"),
     ("cddl-1.1", "development and distribution", "common development and distribution license version 1 1", "cddl 1 1"),
     ("cpl-1.0", "common public", "common public license(?: version)?(?: 1 0)?", "cpl 1 0"),
     ("eupl-1.1", "european union", "european union public licen[cs]e(?: version)? 1 1", "eupl 1 1"),
@@ -65,7 +64,7 @@ LICENSES = (
     ("sspl-1.0", "server side", "server side public license(?: version)?(?: v? ?1)?", "sspl 1 0"),
     ("elastic-2.0", "elastic", "elastic license(?: version)?(?: 2 0)?", "elastic 2 0"),
     ("zlib", "zlib", "zlib(?: libpng)? license", "zlib"),
-    ("libpng-2.0", "libpng", "(?:png reference library|libpng) license(?: version)?(?: 2)?", "libpng 2 0"),
+    ("libpng-2.0", ("png reference library", "libpng"), "(?:png reference library|libpng) license(?: version)?(?: 2)?", "libpng 2 0"),
     ("ijg", "jpeg", "independent jpeg group license", "ijg"),
     ("openssl", "openssl", "openssl license", "openssl"),
     ("curl", "curl", "curl license", "curl"),
@@ -74,7 +73,7 @@ LICENSES = (
     ("php-3.01", "php", "php license(?: version)?(?: 3 01)?", "php 3 01"),
     ("python-2.0", "python", "python software foundation license(?: version)?(?: 2)?", "python 2 0"),
     ("ruby", "ruby", "ruby license", "ruby"),
-    ("perl", "perl", "(?:same terms as perl itself|perl license)", "artistic 1 0 perl"),
+    ("perl", ("perl itself", "perl license"), "(?:same terms as perl itself|perl license)", "artistic 1 0 perl"),
     ("ofl-1.1", "open font", "(?:sil )?open font license(?: version)?(?: 1 1)?", "ofl 1 1"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa open source license", "ncsa"),
     ("w3c", "w3c", "w3c software(?: notice and)? license", "w3c"),
@@ -99,18 +98,18 @@ LICENSES = (
     ("cc-by-nd", "cc by nd", "cc by nd(?: [1234] [05])?", "cc by nd [1234] [05]"),
     ("cc-by-sa", "cc by sa", "cc by sa(?: [1234] [05])?", "cc by sa [1234] [05]"),
     ("cc-by", "cc by", "cc by(?: [1234] [05])?", "cc by [1234] [05]"),
-    ("cc-by-nc-sa", "noncommercial", "(?:creative commons )?attribution non ?commercial share ?alike(?: [1234] [05])?", "ccbyncsa"),
-    ("cc-by-nc", "noncommercial", "(?:creative commons )?attribution non ?commercial(?: [1234] [05])?", "ccbync"),
+    ("cc-by-nc-sa", "attribution", "(?:creative commons )?attribution non ?commercial share ?alike(?: [1234] [05])?", "ccbyncsa"),
+    ("cc-by-nc", "attribution", "(?:creative commons )?attribution non ?commercial(?: [1234] [05])?", "ccbync"),
     ("cc-by-sa", "attribution", "(?:creative commons )?attribution share ?alike(?: [1234] [05])?", "ccbysa"),
     ("cc-by-nd", "attribution", "(?:creative commons )?attribution no ?deriv(?:ative)?s(?: [1234] [05])?", "ccbynd"),
     ("odbl-1.0", "open database", "open database license(?: v? ?1 0)?", "odbl 1 0"),
     ("odc-by-1.0", "open data commons", "open data commons attribution license(?: v? ?1 0)?", "odc by 1 0"),
     ("pddl-1.0", "public domain dedication", "public domain dedication and license(?: v? ?1 0)?", "pddl 1 0"),
     ("ogl-uk-3.0", "open government", "open government licen[cs]e(?: v? ?3 0)?", "ogl uk 3 0"),
-    ("openrail", "rail", "(?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?", "openrail"),
+    ("openrail", ("openrail", "open rail"), "(?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?", "openrail"),
     ("llama", "llama", "llama \\d community license(?: agreement)?", "llama\\d"),
 )
-#: Label, keyword, pattern, tier: clauses that name no license.
+#: Label, keyword or several, pattern, tier: clauses that name no license.
 CLAUSES = (
     ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 1),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose", 1),
@@ -118,20 +117,20 @@ CLAUSES = (
     ("gpl", "free software", "this program is free software you can redistribute it and or modify it", 1),
     ("unlicense", "unencumbered", "free and unencumbered software released into the public domain", 1),
     ("public-domain", "public domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 2),
-    ("public-domain", "public domain", "no rights reserved", 2),
+    ("public-domain", "rights reserved", "no rights reserved", 2),
     ("reserved", "reserved", "all rights (?:are )?reserved", 2),
-    ("reserved", "reserved", "(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", 2),
-    ("reserved", "vorbehalten", "alle rechte vorbehalten", 2),
-    ("reserved", "droits", "tous droits réservés", 2),
-    ("reserved", "derechos", "todos los derechos reservados", 2),
+    ("reserved", ("rechte vorbehalten", "droits réservés", "derechos reservados"), "(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", 2),
+    ("reserved", "rechte vorbehalten", "alle rechte vorbehalten", 2),
+    ("reserved", "droits réservés", "tous droits réservés", 2),
+    ("reserved", "derechos reservados", "todos los derechos reservados", 2),
     ("proprietary", "proprietary", "proprietary and confidential|confidential and proprietary", 2),
     ("proprietary", "internal use", "for internal use only", 2),
     ("proprietary", "redistribut", "(?:may|must|do) not (?:be )?(?:copied or )?redistribut(?:e|ed)", 2),
     ("proprietary", "written permission", "without (?:the )?(?:prior )?(?:express )?written permission", 3),
-    ("non-commercial", "commercial", "(?:for )?non ?commercial use only", 2),
+    ("non-commercial", "commercial use only", "(?:for )?non ?commercial use only", 2),
     ("no-warranty", "warrant", "without (?:any )?warrant(?:y|ies)(?: of any kind)?|as is without warranty", 3),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)?\\d\\d)?", 3),
-    ("copyright", "copyright", "copyright (?:c |by |of )", 3),
+    ("copyright", "copyright", "copyright (?:c|by|of)", 3),
     ("copyleft", "copyleft", "copyleft", 3),
     ("terms", "terms of use", "terms of use", 3),
 )
@@ -141,24 +140,43 @@ CLAUSES = (
 class Rule:
     name: str
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     tier: int
 
 
+def _several(keyword: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (keyword,) if isinstance(keyword, str) else keyword
+
+
 def rules() -> list[Rule]:
     """All rules in the order in which they are tried."""
     out = []
     grant = "(?:licen[sc]ed|released|distributed|available|published|shared|provided) under (?:the )?(?:terms of )?(?:the )?"
     for n, (label, keyword, name, spdx) in enumerate(LICENSES):
+        keyword = _several(keyword)
         out.append(Rule(f"notice-{n}", label, keyword, grant + name, 1))
-        out.append(Rule(f"identifier-{n}", label, "spdx", f"spdx license identifier {spdx}(?= )", 1))
+        out.append(Rule(f"identifier-{n}", label, ("spdx",), f"spdx license identifier {spdx}(?= )", 1))
         out.append(Rule(f"title-{n}", label, keyword, f"(?:the )?{name}", 2))
-        out.append(Rule(f"tag-{n}", label, "licen", f"(?:licen[cs]e|licen[sc]ed under)(?: the)? {spdx}(?= )", 3))
-    out += [Rule(f"clause-{n}", *c) for n, c in enumerate(CLAUSES)]
+        out.append(Rule(f"tag-{n}", label, ("licen",), f"(?:licen[cs]e|licen[sc]ed under)(?: the)? {spdx}(?= )", 3))
+    out += [Rule(f"clause-{n}", label, _several(keyword), pattern, tier) for n, (label, keyword, pattern, tier) in enumerate(CLAUSES)]
     return sorted(out, key=lambda r: (r.tier, -len(r.pattern), r.name))
 
 
+def _always(pattern: str) -> str:
+    """What is left of a pattern without its groups, optional or not, and optional letters: all that it accepts holds this."""
+    while (bare := re.sub(r"\((?:[^()\\]|\\.)*\)\??", "\0", pattern)) != pattern:
+        pattern = bare
+    return re.sub(r".\?", "\0", pattern) if "|" not in pattern else ""
+
+
+def gate() -> list[str]:
+    """Any text with a match of a rule, or with a base phrase, holds one of these: "licen" stands for the rules that always
+    have it, as many of their keywords are common words; the others have their keywords."""
+    words = {p for p, _ in BASE}.union(*(("licen",) if "licen" in _always(r.pattern) else r.keywords for r in rules()))
+    return sorted(w for w in words if not any(x in w for x in words - {w}))
+
+
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.5}
 
 
@@ -169,9 +187,9 @@ def words_text(text: Column) -> Column:
 
 
 def _tier(text: Column, tier: int, every: list[Rule]) -> tuple[Column, Column]:
-    """The rules of a tier that may match (those whose keyword occurs), and their alternation."""
-    kept = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in every if r.tier == tier))
-    active = F.filter(kept, lambda r: F.contains(text, r["keyword"]))
+    """The rules of a tier that may match (those of which a keyword occurs), and their alternation."""
+    kept = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.label).alias("label"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.pattern).alias("pattern")) for r in every if r.tier == tier))
+    active = F.filter(kept, lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k)))
     return active, F.concat(F.lit("(?<= )(?:"), F.array_join(F.transform(active, lambda r: r["pattern"]), "|"), F.lit(")(?= )"))
 
 
@@ -209,11 +227,11 @@ def scan(docs: DataFrame, column: str = "text") -> DataFrame:
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "found", "labels", "score", column)
     rest = [c for c in docs.columns if c not in added]
     text = docs.select(*rest, words_text(F.col(column)).alias("_w"))
-    gate = F.lit(False)
-    for x in GATE:
-        gate = gate | F.contains("_w", F.lit(x))
+    may = F.lit(False)
+    for x in gate():
+        may = may | F.contains("_w", F.lit(x))
     spaces = F.length("_w") - F.length(F.replace("_w", F.lit(" "), F.lit("")))
-    gated = text.select(*rest, F.when(F.col("_w") == "  ", 0).otherwise(spaces - 1).cast("long").alias("n_words"), F.when(gate, F.col("_w")).alias("_t1"))
+    gated = text.select(*rest, F.when(F.col("_w") == "  ", 0).otherwise(spaces - 1).cast("long").alias("n_words"), F.when(may, F.col("_w")).alias("_t1"))
     none = F.array().cast("array<int>")
     places = [F.when(F.contains("_t1", F.lit(f" {p} ")), F.filter(F.sequence(F.lit(0), F.size("_words") - 1), _stands(p))).otherwise(none) for p, _ in BASE]
     any_base = F.lit(False)

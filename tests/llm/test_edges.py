@@ -262,6 +262,54 @@ def test_licence_rules(spark, text, labels, score):
         assert (r.labels, r.score) == (labels, score)
 
 
+def accepted(pattern, most):
+    """What a pattern of the rules accepts, with (most) or without its optional parts; one digit or letter for all."""
+    def of(parts):
+        out = [""]
+        for op, v in parts:
+            op = str(op)
+            if op == "LITERAL":
+                here = [chr(v)]
+            elif op == "IN":
+                here = [chr(x) if str(o) == "LITERAL" else "1" if "DIGIT" in str(x) else "x" for o, x in v]
+            elif op == "BRANCH":
+                here = [x for b in v[1] for x in of(b)]
+            elif op == "SUBPATTERN":
+                here = of(v[3])
+            elif op == "MAX_REPEAT":
+                here = ([""] if v[0] == 0 else []) + (of(v[2]) if v[0] or most else [])
+            else:
+                assert op in ("ASSERT", "ASSERT_NOT"), op
+                continue
+            out = [a + b for a in out for b in here]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_licence_gate(spark):
+    gate, short = licences.gate(), []
+    for r in licences.rules():
+        for t in set(accepted(r.pattern, True)):
+            assert any(k in t for k in r.keywords) and any(g in t for g in gate), (r, t)
+        short += [(r.label, t, r.tier) for t in set(accepted(r.pattern, False))]
+    assert not {"mit", "l", "apache", "python"} & set(gate)
+    got = licences.scan(spark.createDataFrame(short, "label string, text string, tier int")).collect()
+    assert len(got) == len(short) and all(g.found for g in got) and [g for g in got if g.label not in g.labels] == []
+
+
+ALONE = [
+    ("Alle Rechte vorbehalten.", ["reserved"]), ("Tous droits réservés", ["reserved"]), ("Todos los derechos reservados", ["reserved"]), ("all rights are reserved", ["reserved"]), ("no rights reserved", ["public-domain"]),
+    ("for internal use only", ["proprietary"]), ("non-commercial use only", ["non-commercial"]), ("without warranties", ["no-warranty"]), ("Attribution-ShareAlike 4.0", ["cc-by-sa"]), ("Attribution-NonCommercial 4.0", ["cc-by-nc"]),
+    ("Attribution Non Commercial Share Alike", ["cc-by-nc-sa"]), ("the same terms as Perl itself", ["perl"]), ("Open RAIL", ["openrail"]), ("PNG Reference Library License", ["libpng-2.0"]), ("properly", []), ("copyright by", ["copyright"]),
+]
+
+
+def test_licence_phrases_alone(spark):
+    rows = licences.scan(spark.createDataFrame([(*x, x[0]) for x in ALONE], "phrase string, want array<string>, text string")).collect()
+    assert [(r.phrase, r.labels) for r in rows] == [(r.phrase, r.want) for r in rows] and len(rows) == len(ALONE)
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", None, "", "<|im_start|>user\nx<|im_end|>\n", "\\<\\\\|a [\\INST] <\\s> é😀", "<<s>", "a" * 10000]
     rows = [(c, t, r, said[(c + t) % len(said)]) for c in range(7) for t, r in enumerate(("system", "user", "assistant", None, "assist\n%<ant"))] + [(9, 0, "user", "a"), (9, 0, "user", "a"), (9, None, "assistant", "b")]

@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
@@ -158,34 +159,96 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[int, np.ndarray] = {}
+#: Fixed: the five primes of XXH64.
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+M64 = (1 << 64) - 1
+#: Slices longer than this are hashed one by one by the library, which is faster from there on.
+LONG = 96
+
+
+def _rotate(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _rotate(acc + lane * np.uint64(P2), 31) * np.uint64(P1)
+
+
+def xxh64(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each slice of buf; short slices of equal length are hashed together."""
+    U = np.uint64
+    out = np.zeros(len(starts), U)
+    long = np.flatnonzero(lengths > LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh64_intdigest(view[a : a + n], seed) for a, n in zip(starts[long].tolist(), lengths[long].tolist())]
+    short = np.flatnonzero(lengths <= LONG) if len(long) else np.arange(len(starts))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(buf) + 1, 8), (1, 1))).view("<u8").ravel()
+    order = short[np.argsort(lengths[short].astype(np.uint8), kind="stable")]
+    values, first = np.unique(lengths[order], return_index=True)
+    zero = np.zeros(1, U)
+    for n, a, b in zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        which = order[a:b]
+        at = starts[which]
+        done = 0
+        if n >= 32:
+            acc = [np.full(len(at), v & M64, U) for v in (seed + P1 + P2, seed + P2, seed, seed - P1)]
+            while done + 32 <= n:
+                for k in range(4):
+                    acc[k] = _round(acc[k], eight[at + (done + 8 * k)])
+                done += 32
+            h = _rotate(acc[0], 1) + _rotate(acc[1], 7) + _rotate(acc[2], 12) + _rotate(acc[3], 18)
+            for k in range(4):
+                h = (h ^ _round(zero, acc[k])) * U(P1) + U(P4)
+        else:
+            h = np.full(len(at), (seed + P5) & M64, U)
+        h = h + U(n)
+        while done + 8 <= n:
+            h = _rotate(h ^ _round(zero, eight[at + done]), 27) * U(P1) + U(P4)
+            done += 8
+        if done + 4 <= n:
+            h = _rotate(h ^ ((eight[at + done] & U(0xFFFFFFFF)) * U(P1)), 23) * U(P2) + U(P3)
+            done += 4
+        while done < n:
+            h = _rotate(h ^ ((eight[at + done] & U(0xFF)) * U(P5)), 11) * U(P1)
+            done += 1
+        h = (h ^ (h >> U(33))) * U(P2)
+        h = (h ^ (h >> U(29))) * U(P3)
+        out[which] = h ^ (h >> U(32))
+    return out
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash (XXH64) of each slice of buf, the same wherever it stands."""
+    return xxh64(buf, starts, ends - starts)
 
 
-def running(buf: np.ndarray) -> np.ndarray:
-    """The sum over each beginning of buf from which hashes() takes the hash of any slice."""
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), out=total[1:])
-    return total
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """For each i whether size[i] bytes of buf from a[i] on equal those of other (or buf) from b[i] on."""
+    other = buf if other is None else other
+    out = np.ones(len(a), bool)
+    step = 1 << 20  # bytes at a time, about
+    total = np.cumsum(size)
+    cuts = np.unique(np.append(np.searchsorted(total, np.arange(step, int(total[-1]) + step, step), "left") + 1, 0)) if len(size) else [0]
+    for i, j in zip(cuts, np.minimum(cuts[1:], len(size)) if len(size) else []):
+        n = size[i:j]
+        differ = buf[expand(a[i:j], n)] != other[expand(b[i:j], n)]
+        if differ.any():
+            out[i + np.unique(np.searchsorted(np.cumsum(n), np.flatnonzero(differ), "right"))] = False
+    return out
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each slice of buf, the same wherever it stands."""
-    total = running(buf) if total is None else total
-    h = (total[ends] - total[starts]) * powers(_INVERSE, len(buf) + 1)[starts]
-    return mix(h ^ (ends - starts).astype(np.uint64))
+def numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed: np.ndarray | None = None) -> np.ndarray:
+    """A number (from 0) of each slice, equal for equal slices only: slices are told apart by hash and each is compared with
+    the first of its hash; where one differs, all are numbered by their bytes."""
+    hashed = hashes(buf, starts, ends) if hashed is None else hashed
+    _, first, of = np.unique(hashed, return_index=True, return_inverse=True)
+    size = ends - starts
+    if (size == size[first][of]).all() and same_bytes(buf, starts, starts[first][of], size).all():
+        return of
+    raw, known = buf.tobytes(), {}
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

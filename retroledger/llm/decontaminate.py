@@ -1,14 +1,15 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Training texts are cut into blocks; a block's index holds its distinct terms and, for each, the ascending positions at
-which it stands (positions run over the block, with a gap between texts, so no match spans two). One block is one row of
-the index, a table that is stored and searched without any shuffle. A phrase is found by taking its rarest term in the
-block, shifting that term's positions to the phrase's start, and intersecting them with the shifted positions of the next
-rarest term, and so on; all phrases go through a block together. Proximity matches take the windows around the rarest
-term's positions and look for the other terms in them.
+Training texts are cut into blocks; a block's index holds its distinct terms (their bytes, in the order of their hashes)
+and, for each, the ascending positions at which it stands (positions run over the block, with a gap between texts, so no
+phrase spans two). One block is one row of the index, a table that is written once, serves any benchmark, and is searched
+without any shuffle. A phrase is found by taking its rarest term in the block, shifting that term's positions to the
+phrase's start, and intersecting them with the shifted positions of the next rarest term, and so on; all phrases go through
+a block together. Terms are looked up by hash and compared by their bytes. Proximity matches are the smallest windows of a
+text that hold all terms.
 
-Test items are bounded: they go to the tasks in blocks of at most ``ITEM_BYTES`` of text each, every block against all rows
-of the index. With one block the index keeps only terms of the items; with more it is built once, whole.
+Test items are bounded: they go to the tasks in parts of at most ``ITEM_WORDS`` words each, one after another, every part
+against all rows of the index; the driver and each task hold one part at a time.
 
 Edge cases: null or empty texts have no words; items without words match nothing; an item shorter than the window is one
 phrase; repeated items and rows each get their full result; ids may be null (a null item id counts as the empty string);
@@ -25,74 +26,98 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-WINDOW, GAP, ITEM_BYTES, BLOCK = 13, 64, 16_000_000, 4_000_000
-_TYPES = "words array<long>, terms binary, counts binary, positions binary"
+WINDOW, GAP, ITEM_WORDS, BLOCK = 13, 64, 1_000_000, 4_000_000
+_TYPES = "words array<long>, spelled binary, lengths binary, counts binary, positions binary"
+_COLUMNS = ("words", "spelled", "lengths", "counts", "positions")
 
 
-def tokens(t: common.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text's words begin (one more for the end)."""
+def tokens(t: common.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The buffer in lower case, start and end of the words of all texts, and where each text's words begin (one more for
+    the end)."""
     buf = common.LOWER[t.buf]
     starts, ends = common.spans(buf, common.ALNUM)
-    return common.hashes(buf, starts, ends), np.searchsorted(starts, t.at)
+    return buf, starts, ends, np.searchsorted(starts, t.at)
 
 
-def build(docs: DataFrame, column: str = "text", terms: np.ndarray | None = None) -> DataFrame:
-    """The index of docs (doc_id and text): rows of doc_ids, words (their numbers), and packed terms, counts and positions.
-    With terms (sorted hashes) only these are indexed."""
+def build(docs: DataFrame, column: str = "text") -> DataFrame:
+    """The index of docs (doc_id and text): rows of doc_ids, words (their numbers), and packed terms, counts and positions."""
     common.small_batches(docs.sparkSession)
-    sieve = None
-    if terms is not None:
-        sieve = np.zeros(1 << 20, bool)
-        sieve[terms >> np.uint64(44)] = True
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.texts(batches, column, limit=BLOCK):
-            word, at = tokens(t)
-            count = np.diff(at)
-            position = np.arange(len(word)) + np.repeat(np.arange(len(t)) * GAP, count)
-            if sieve is not None:
-                some = np.flatnonzero(sieve[word >> np.uint64(44)])
-                some = some[terms[np.minimum(np.searchsorted(terms, word[some]), len(terms) - 1)] == word[some]]
-                word, position = word[some], position[some]
-            order = np.argsort(word, kind="stable")
-            word = word[order]
-            head = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+            buf, starts, ends, at = tokens(t)
+            position = np.arange(len(starts)) + np.repeat(np.arange(len(t)) * GAP, np.diff(at))
+            terms = Terms.of(buf, starts, ends)
+            order = np.argsort(terms.own, kind="stable")
+            count = np.bincount(terms.own, minlength=len(terms.hash))
             ids = t.rows.column("doc_id")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([count.tolist()], pa.list_(pa.int64())),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (word[head], np.diff(np.append(head, len(word))).astype(np.uint32), position[order].astype(np.uint32))),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.diff(at).tolist()], pa.list_(pa.int64())), pa.array([terms.spelled.tobytes()], pa.binary()),
+                    *(pa.array([x.astype(np.uint32).tobytes()], pa.binary()) for x in (terms.length, count, position[order])),
                 ],
-                ["doc_ids", "words", "terms", "counts", "positions"],
+                ["doc_ids", *_COLUMNS],
             )
 
     df = docs.select("doc_id", column)
     return df.mapInArrow(work, f"doc_ids array<{dict(df.dtypes)['doc_id']}>, {_TYPES}")
 
 
+class Terms:
+    """Distinct terms in the order of their hashes: ``spelled`` (their bytes, one after another), ``start`` and ``length``
+    of each, ``hash``; ``own``: of the words that they came from the number of each one's term."""
+
+    def __init__(self, spelled: np.ndarray, length: np.ndarray, hash_: np.ndarray | None = None, own: np.ndarray | None = None):
+        self.spelled, self.length = spelled, length.astype(np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.hash = common.xxh64(spelled, self.start, self.length) if hash_ is None else hash_
+        self.own = own
+
+    @staticmethod
+    def of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Terms:
+        hashed = common.hashes(buf, starts, ends)
+        number = common.numbered(buf, starts, ends, hashed)
+        _, first, own = np.unique(number, return_index=True, return_inverse=True)
+        order = np.argsort(hashed[first], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first = first[order]
+        length = (ends - starts)[first]
+        return Terms(buf[common.expand(starts[first], length)], length, hashed[first], place[own])
+
+    def find(self, other: Terms) -> np.ndarray:
+        """The number here of each term of another, or -1: first by hash, then by bytes (of terms that share a hash each is
+        tried)."""
+        out = np.full(len(other.hash), -1, np.int64)
+        at = np.searchsorted(self.hash, other.hash)
+        open_ = np.flatnonzero(at < len(self.hash))
+        while len(open_ := open_[self.hash[at[open_]] == other.hash[open_]]):
+            same = self.length[at[open_]] == other.length[open_]
+            some = open_[same]
+            equal = common.same_bytes(self.spelled, self.start[at[some]], other.start[some], other.length[some], other.spelled)
+            out[some[equal]] = at[some[equal]]
+            open_ = open_[out[open_] < 0]
+            at[open_] += 1
+            open_ = open_[at[open_] < len(self.hash)]
+        return out
+
+
 class Block:
     """One row of the index, opened."""
 
-    def __init__(self, words: list[int], terms: bytes, counts: bytes, positions: bytes):
+    def __init__(self, words: list[int], spelled: bytes, lengths: bytes, counts: bytes, positions: bytes):
         self.words = np.array(words, np.int64)
         self.start = np.cumsum(self.words + GAP) - self.words - GAP
-        self.terms = np.frombuffer(terms, np.uint64)
+        self.terms = Terms(np.frombuffer(spelled, np.uint8), np.frombuffer(lengths, np.uint32))
         self.count = np.frombuffer(counts, np.uint32).astype(np.int64)
         self.first = np.cumsum(self.count) - self.count
         self.position = np.frombuffer(positions, np.uint32).astype(np.int64)
-        self.key = np.repeat(np.arange(len(self.terms)), self.count) << 32 | self.position  # ascending
-
-    def lookup(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each term, and whether the block has it."""
-        if not len(self.terms):
-            return np.zeros(term.shape, np.int64), np.zeros(term.shape, bool)
-        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
-        return at, self.terms[at] == term
-
-    def phrases(self, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All places of equally long phrases (one in each row): the phrase's row and its start."""
-        number, there = self.lookup(phrase)
-        alive = np.flatnonzero(there.all(axis=1))
+        self.key = np.repeat(np.arange(len(self.count)), self.count) << 32 | self.position  # ascending
+
+    def phrases(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of equally long phrases (one in each row, as numbers of this block's terms): the phrase's row and its
+        start."""
+        alive = np.flatnonzero((number >= 0).all(axis=1))
         number = number[alive]
         rare = np.argsort(self.count[number], axis=1, kind="stable") if len(alive) else number
         if not len(alive):
@@ -102,7 +127,7 @@ class Block:
         many = self.count[term]
         row = np.repeat(rows, many)
         start = self.position[common.expand(self.first[term], many)] - rare[row, 0]
-        for k in range(1, phrase.shape[1]):
+        for k in range(1, number.shape[1]):
             offset = rare[row, k]
             goal = number[row, offset] << 32 | np.maximum(start + offset, 0)
             at = np.minimum(np.searchsorted(self.key, goal), len(self.key) - 1)
@@ -112,22 +137,29 @@ class Block:
                 break
         return alive[row], start
 
-    def near(self, terms: np.ndarray, reach: int) -> np.ndarray:
-        """Positions of the rarest of distinct terms that have every other term at most reach words away."""
-        number, there = self.lookup(terms)
-        if not there.all() or not len(terms):
-            return np.zeros(0, np.int64)
-        number = number[np.argsort(self.count[number], kind="stable")]
-        here = self.position[self.first[number[0]] : self.first[number[0]] + self.count[number[0]]]
-        for n in number[1:]:
-            list_ = self.position[self.first[n] : self.first[n] + self.count[n]]
-            at = np.searchsorted(list_, here - reach)
-            here = here[(at < len(list_)) & (list_[np.minimum(at, len(list_) - 1)] <= here + reach)]
-        return here
+    def near(self, number: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the smallest windows of one text that hold all of some terms (numbers; one that repeats is wanted
+        as often), at most reach words beyond one another."""
+        none = np.zeros(0, np.int64)
+        if not len(number) or (number < 0).any():
+            return none, none
+        term, want = np.unique(number, return_counts=True)
+        place = np.concatenate([self.position[self.first[t] : self.first[t] + self.count[t]] for t in term])
+        end = np.sort(place)
+        begin = end.copy()
+        for t, n in zip(term.tolist(), want.tolist()):  # for each place the nearest start at or before it that has n of t
+            own = self.position[self.first[t] : self.first[t] + self.count[t]]
+            k = np.searchsorted(own, end, "right") - n
+            begin = np.minimum(begin, np.where(k >= 0, own[np.maximum(k, 0)], -1))
+        text = np.searchsorted(self.start, end, "right") - 1
+        good = (begin >= self.start[text]) & (end - begin <= reach)
+        begin, end = begin[good], end[good]
+        shortest = np.append(True, begin[1:] != begin[:-1]) if len(begin) else np.zeros(0, bool)
+        return begin[shortest], end[shortest]
 
 
 class Windows:
-    """The distinct windows of items, by length, and the items of each."""
+    """The distinct windows of items, by length, as numbers of their terms, and the items of each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.ids = sorted({i for i, _ in items})
@@ -135,25 +167,22 @@ class Windows:
         rows: dict[int, list[np.ndarray]] = {}
         owner: dict[int, list[np.ndarray]] = {}
         batch = pa.RecordBatch.from_arrays([pa.array([x for _, x in items], pa.string())], ["text"])
-        done = 0
-        for t in common.texts([batch]):
-            word, at = tokens(t)
-            for k in range(len(t)):
-                w = word[at[k] : at[k + 1]]
-                if len(w):
-                    size = min(window, len(w))
-                    rows.setdefault(size, []).append(np.lib.stride_tricks.sliding_window_view(w, size))
-                    owner.setdefault(size, []).append(np.full(len(w) - size + 1, number[items[done + k][0]]))
-            done += len(t)
+        t = common.Texts(batch, "text")
+        buf, starts, ends, at = tokens(t)
+        self.terms = Terms.of(buf, starts, ends)
+        word, self.terms.own = self.terms.own.astype(np.int32), None
+        for k in range(len(t)):
+            w = word[at[k] : at[k + 1]]
+            if len(w):
+                size = min(window, len(w))
+                rows.setdefault(size, []).append(np.lib.stride_tricks.sliding_window_view(w, size))
+                owner.setdefault(size, []).append(np.full(len(w) - size + 1, number[items[k][0]]))
         self.by_size: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for size, parts in sorted(rows.items()):
             distinct, which = np.unique(np.vstack(parts), axis=0, return_inverse=True)
             pair = np.unique(np.column_stack([which.ravel(), np.concatenate(owner[size])]), axis=0)
             self.by_size.append((distinct, np.searchsorted(pair[:, 0], np.arange(len(distinct) + 1)), pair[:, 1]))
 
-    def terms(self) -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(d.ravel() for d, _, _ in self.by_size)]))
-
 
 def search(index: DataFrame, windows: Windows) -> DataFrame:
     """One row for each document: doc_id, n_words, spans (starts and ends of maximal runs of words inside matches, in
@@ -166,12 +195,13 @@ def search(index: DataFrame, windows: Windows) -> DataFrame:
         for rows in batches:
             for i in range(rows.num_rows):
                 ids = rows.column("doc_ids")[i].values
-                block = Block(*(rows.column(c)[i].as_py() for c in ("words", "terms", "counts", "positions")))
+                block = Block(*(rows.column(c)[i].as_py() for c in _COLUMNS))
                 n = len(block.words)
                 change = np.zeros(int((block.words + GAP).sum()) + 1, np.int32)
                 pairs = [np.zeros((0, 2), np.int64)]
+                here = block.terms.find(w.terms)
                 for phrase, at, owner in w.by_size:
-                    row, start = block.phrases(phrase)
+                    row, start = block.phrases(here[phrase])
                     np.add.at(change, start, 1)
                     np.add.at(change, start + phrase.shape[1], -1)
                     many = at[row + 1] - at[row]
@@ -196,22 +226,22 @@ def search(index: DataFrame, windows: Windows) -> DataFrame:
 
 
 def near(index: DataFrame, terms: list[str], reach: int) -> DataFrame:
-    """Proximity: doc_id and word position of the block's rarest term wherever all terms lie within reach words of it."""
-    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(terms)])], ["text"])
-    wanted = np.unique(tokens(next(common.texts([batch])))[0])
-    if reach >= GAP:
-        raise ValueError(f"reach must be below {GAP}")
+    """Proximity: doc_id, start and end (words, the end included) of every smallest stretch of a text that holds all terms
+    with at most reach words from its first to its last. What a text gives does not depend on its block."""
+    t = common.Texts(pa.RecordBatch.from_arrays([pa.array([" ".join(terms)])], ["text"]), "text")
+    buf, starts, ends, _ = tokens(t)
+    wanted = Terms.of(buf, starts, ends)
     kind = dict(index.dtypes)["doc_ids"][6:-1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i in range(rows.num_rows):
-                block = Block(*(rows.column(c)[i].as_py() for c in ("words", "terms", "counts", "positions")))
-                here = block.near(wanted, reach)
-                text = np.searchsorted(block.start, here, "right") - 1
-                yield pa.RecordBatch.from_arrays([rows.column("doc_ids")[i].values.take(pa.array(text)), pa.array(here - block.start[text])], ["doc_id", "position"])
+                block = Block(*(rows.column(c)[i].as_py() for c in _COLUMNS))
+                begin, end = block.near(block.terms.find(wanted)[wanted.own], reach)
+                text = np.searchsorted(block.start, begin, "right") - 1
+                yield pa.RecordBatch.from_arrays([rows.column("doc_ids")[i].values.take(pa.array(text)), pa.array(begin - block.start[text]), pa.array(end - block.start[text])], ["doc_id", "start", "end"])
 
-    return index.mapInArrow(work, f"doc_id {kind}, position long")
+    return index.mapInArrow(work, f"doc_id {kind}, start long, end long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, column: str = "text", window: int = WINDOW) -> DataFrame:
@@ -219,26 +249,28 @@ def contamination(docs: DataFrame, items: DataFrame, column: str = "text", windo
     least a twentieth of the words."""
     texts = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    parts = max(1, -(-size // ITEM_BYTES))
-    block = lambda k: Windows([tuple(r) for r in texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()], window)
-    if parts == 1:
-        windows = block(0)
-        found = search(common.stored(build(docs, column, windows.terms()), "index"), windows)
-    else:  # each block of items against the whole index; results of a document are merged by its row in the index
-        numbered = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc_id"), column)
-        index = common.stored(build(numbered, column), "index")
-        parts_found = [search(index, block(k)) for k in range(parts)]
-        every = parts_found[0]
-        for more in parts_found[1:]:
-            every = every.unionAll(more)
-        merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    parts = max(1, -(-size // (2 * ITEM_WORDS)))  # a word takes two bytes at least, with what parts it from the next
+    numbered = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc_id"), column)
+    index = common.stored(build(numbered, column), "index")
+    found, span = None, "array<struct<start:int,end:int>>"
+    for k in range(parts):
+        windows = Windows([tuple(r) for r in texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()], window)
+        part = search(index, windows)
+        if parts > 1:  # written before the next part is read, so one part's windows are alive at a time
+            part = common.stored(part.where((F.size("item_ids") > 0) | F.lit(k == 0)), "found")
+        found = part if found is None else found.unionAll(part)
+    if parts > 1:  # results of a document meet by its row in the index
+        merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
         start = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
         ordered = F.array_sort(F.transform("spans", start))
-        joined = F.aggregate(  # spans of several blocks of items may overlap
-            ordered, F.array().cast("array<struct<start:int,end:int>>"),
-            lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
+        last = lambda acc: F.element_at(acc, -1)
+        longer = lambda acc, s: F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))
+        joined = F.aggregate(  # spans of several parts of the items may overlap
+            ordered, F.array().cast(span),
+            lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, s)))).otherwise(F.concat(acc, F.array(s))),
         )
-        found = merged.select("doc_id.doc_id", "n_words", joined.alias("spans"), "item_ids")
+        found = merged.select("doc_id", "n_words", joined.alias("spans"), "item_ids")
+    found = found.select("doc_id.doc_id", "n_words", "spans", "item_ids")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
     out = found.withColumn("n_hit", hit).withColumn("n_items", F.size("item_ids").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

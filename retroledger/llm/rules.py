@@ -44,6 +44,25 @@ RATES = (
 P = len(RATES)
 
 
+def _repeated(word: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Where windows of words (numbers) start that stand twice or more in their text. Windows are told apart by hash; where
+    two of one hash hold other words, all are compared by their words."""
+    many = len(word) - WINDOW + 1
+    inside = np.flatnonzero(text_of[:many] == text_of[WINDOW - 1 :]) if many > 0 else np.zeros(0, np.int64)
+    if not len(inside):
+        return inside
+    gram = common.gram_hashes(common.mix(word.astype(np.uint64)), WINDOW)
+    key = common.mix(gram[inside] + text_of[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    a, b = inside[order[:-1][same]], inside[order[1:][same]]
+    if not ((text_of[a] == text_of[b]).all() and all((word[a + k] == word[b + k]).all() for k in range(WINDOW))):
+        rows = np.column_stack([text_of[inside], *(word[inside + k] for k in range(WINDOW))])
+        _, of, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        return inside[count[of.ravel()] > 1]
+    return inside[order[np.append(same, False) | np.append(False, same)]]
+
+
 def counts(t: common.Texts) -> dict[str, np.ndarray]:
     """The counts of each text."""
     buf, n = t.buf, len(t)
@@ -55,33 +74,22 @@ def counts(t: common.Texts) -> dict[str, np.ndarray]:
     plain = common.PLAIN[buf]
     starts, ends = common.spans(buf, common.PLAIN)
     at = np.searchsorted(starts, t.at)
-    total = common.running(buf)
-    word = common.hashes(buf, starts, ends, total)
+    word = common.numbered(buf, starts, ends)
     text_of = np.repeat(np.arange(n), np.diff(at))
-    gram = common.gram_hashes(word, WINDOW)
-    inside = np.flatnonzero(text_of[: len(gram)] == text_of[WINDOW - 1 :]) if len(gram) else np.zeros(0, np.int64)
-    key = common.mix(gram[inside] + text_of[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
-    found = inside[order[twice]]
+    found = _repeated(word, text_of)
     change = np.zeros(len(word) + 1, np.int32)
     change[found] += 1
     change[found + WINDOW] -= 1
     repeated = np.append(0, np.cumsum(np.cumsum(change)[:-1] > 0))
 
-    stops = np.union1d(np.flatnonzero(buf == 0x0A), t.at[1:] - 1)
-    begin = np.append(0, stops[:-1] + 1)
-    begin, stops = begin[: len(stops)], stops
-    words_before = np.append(0, np.cumsum(plain))
-    filled = words_before[stops] > words_before[begin]
-    line_of = np.searchsorted(t.at, begin[filled], "right") - 1
-    lines = common.mix(common.hashes(buf, begin[filled], stops[filled], total) + line_of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first = np.unique(lines, return_index=True)
-    n_lines = np.bincount(line_of, minlength=n)
+    n_lines, n_dup = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    raw = buf.tobytes()
+    for i, (a, b) in enumerate(zip(t.at[:-1].tolist(), (t.at[1:] - 1).tolist())):
+        lines = [x for x in raw[a:b].split(b"\n") if x and not x.isspace()]
+        n_lines[i], n_dup[i] = len(lines), len(lines) - len(set(lines))
     return {
         "n_words": np.diff(at), "word_chars": per_text(plain & ((buf & 0xC0) != 0x80)), "n_symbols": per_text(SYMBOLS[buf]),
-        "n_dup_lines": n_lines - np.bincount(line_of[first], minlength=n), "n_repeat_words": repeated[at[1:]] - repeated[at[:-1]],
+        "n_dup_lines": n_dup, "n_repeat_words": repeated[at[1:]] - repeated[at[:-1]],
         "n_upper": per_text(UPPER[buf]), "n_marks": per_text(MARKS[buf]), "n_digits": per_text(DIGITS[buf]), "n_lines": n_lines,
     }
 

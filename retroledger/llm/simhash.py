@@ -29,55 +29,7 @@ from . import common
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 U = np.uint64
-#: Fixed: the five primes of XXH64.
-P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
-M64 = (1 << 64) - 1
-
-
-def _rotate(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << U(r)) | (x >> U(64 - r))
-
-
-def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
-    return _rotate(acc + lane * U(P2), 31) * U(P1)
-
-
-def xxh64(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """XXH64 of each slice of buf; slices of equal length are hashed together."""
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(buf) + 1, 8), (1, 1))).view("<u8").ravel()
-    out = np.zeros(len(starts), U)
-    order = np.argsort(lengths, kind="stable")
-    values, first = np.unique(lengths[order], return_index=True)
-    for n, a, b in zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-        which = order[a:b]
-        at = starts[which]
-        done = 0
-        if n >= 32:
-            acc = [np.full(len(at), v & M64, U) for v in (seed + P1 + P2, seed + P2, seed, seed - P1)]
-            while done + 32 <= n:
-                for k in range(4):
-                    acc[k] = _round(acc[k], eight[at + (done + 8 * k)])
-                done += 32
-            h = _rotate(acc[0], 1) + _rotate(acc[1], 7) + _rotate(acc[2], 12) + _rotate(acc[3], 18)
-            for k in range(4):
-                h = (h ^ _round(np.zeros(1, U), acc[k])) * U(P1) + U(P4)
-        else:
-            h = np.full(len(at), (seed + P5) & M64, U)
-        h = h + U(n)
-        while done + 8 <= n:
-            h = _rotate(h ^ _round(np.zeros(1, U), eight[at + done]), 27) * U(P1) + U(P4)
-            done += 8
-        if done + 4 <= n:
-            h = _rotate(h ^ ((eight[at + done] & U(0xFFFFFFFF)) * U(P1)), 23) * U(P2) + U(P3)
-            done += 4
-        while done < n:
-            h = _rotate(h ^ ((eight[at + done] & U(0xFF)) * U(P5)), 11) * U(P1)
-            done += 1
-        h = (h ^ (h >> U(33))) * U(P2)
-        h = (h ^ (h >> U(29))) * U(P3)
-        out[which] = h ^ (h >> U(32))
-    return out
+M64 = common.M64
 
 
 def fingerprints_of(t: common.Texts, shingle: int = SHINGLE) -> np.ndarray:
@@ -93,7 +45,7 @@ def fingerprints_of(t: common.Texts, shingle: int = SHINGLE) -> np.ndarray:
     many = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
     first = common.expand(at[:-1], many)
     last = first + np.repeat(np.minimum(words, shingle) - 1, many)
-    h = xxh64(buf, starts[first], ends[last] - starts[first])
+    h = common.xxh64(buf, starts[first], ends[last] - starts[first], SEED)
     out = np.zeros(len(t), U)
     some = np.flatnonzero(many)
     if not len(some):

@@ -1,35 +1,38 @@
 """Substring dedup with a compressed FM-index for each shard.
 
 Words are the symbols. A text's windows of ``window`` words are cut into runs that share a minimizer (the least hash among
-the ``K``-word pieces of a window); equal windows have equal minimizers, so it is enough to compare runs with one minimizer.
-Minimizers that stand once in all texts are dropped; the other runs become distinct pieces with the earliest place of each, and pieces
-go to shards by minimizer. A minimizer that stands very often would fill a shard, so its runs are cut into single windows,
-which go to shards by their own hash; copies of one window are already one piece.
-
-A shard builds an FM-index of its pieces: suffix order by doubling, the Burrows-Wheeler transform in a wavelet matrix of
-packed bits with block counts, and the earliest place below each range of suffixes. All pieces are streamed through it
-together: backward search extends each match to the left as long as the range holds a place earlier than the text's own,
-which gives the matching statistics against earlier text, and intervals of ``window`` words or more are reported.
-
-Whole copies of a text are found by hash first; the first of them stands for all, and the others are covered wholly.
+the ``K``-word pieces of a window); equal windows have equal minimizers, so it is enough to compare runs with one
+minimizer. Minimizers that stand once in all texts are dropped. The words of each other run are a piece; equal pieces are
+counted together, with the earliest place of them, before they travel, and go to shards by minimizer. A minimizer that
+stands very often would fill a shard, so its runs are cut into single windows, which go to shards by their own digest.
+
+A shard builds an FM-index of its pieces: words numbered by their bytes, suffix order by doubling, the Burrows-Wheeler
+transform in a wavelet matrix of packed bits with block counts, and the earliest place below each range of suffixes, by
+minima of blocks. All pieces are streamed through it together: backward search extends each match to the left as long as the
+range holds a place earlier than the piece's own, which gives the matching statistics against earlier text, and intervals
+of ``window`` words or more are reported. A piece that stands several times is asked twice: at its earliest place, and just
+behind it, which is the answer for all its other places. No window is judged in any other way.
 
 Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; rows that share id and text are
 judged alike; a null id counts as later than all others; of rows that share an id but not the text, only the place of a
-window within the text decides; an empty table gives an empty result; other columns pass through except those added.
+window within the text decides; ids are integers (others raise TypeError); an empty table gives an empty result; other
+columns pass through except those added.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from . import common
 
 WINDOW, K = 20, 8
-HOT, SHARD_WORDS = 4000, 400_000
+HOT, SHARD_WORDS, MOST = 4000, 400_000, 256
 U = np.uint64
 LAST = (1 << 63) - 1
 
@@ -50,9 +53,9 @@ def _slide(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def runs(word: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimizer: text, first window (in words of the text), number of windows, minimizer, and
-    whether the minimizer stands in the run more than once."""
+def runs(word: np.ndarray, at: np.ndarray, window: int = WINDOW, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimizer, at most so many windows each: text, first window (in words of the text), number of
+    windows, minimizer, and whether the minimizer stands in the run more than once."""
     gram, span = common.gram_hashes(word, K), window - K + 1
     least = _slide(gram, span, np.minimum)
     size = np.diff(at)
@@ -68,7 +71,11 @@ def runs(word: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     if not len(head):
         return text[head], begin, length, mark[head], np.zeros(0, bool)
     low, high = np.searchsorted(lowest, begin), np.searchsorted(lowest, begin + length + span - 1) - 1
-    return text[head], begin - at[:-1][text[head]], length, mark[head], again[high] > again[low]
+    parts = -(-length // most)
+    of = np.repeat(np.arange(len(head)), parts)
+    skip = most * common.expand(np.zeros(len(head), np.int64), parts)
+    text, begin = text[head][of], begin[of] + skip
+    return text, begin - at[:-1][text], np.minimum(length[of] - skip, most), mark[head][of], (again[high] > again[low])[of]
 
 
 def _minimizers(window: int):
@@ -83,7 +90,8 @@ def _minimizers(window: int):
 
 
 def _pieces(window: int):
-    """Texts with their repeated runs in; pieces out: shard key, content hash (two numbers), place and words."""
+    """Texts with their repeated runs in; pieces out: shard key, digest of the words (128 bits as two numbers), place and
+    words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.texts(batches):
@@ -103,16 +111,14 @@ def _pieces(window: int):
             into = np.append(0, np.cumsum(keep))
             a, b = at[text[of]] + begin, at[text[of]] + begin + size
             lo, hi = into[starts[a]], into[ends[b - 1]]
-            total = np.append(U(0), np.cumsum(common.mix(word ^ U(0x5851F42D4C957F2D)) * common.powers(0x9E3779B97F4A7C15 | 1, len(word)), dtype=U))
-            h1 = common.mix((total[b] - total[a]) * common.powers(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64), len(word) + 1)[a] + size.astype(U))
-            total2 = np.append(U(0), np.cumsum(word * common.powers(0xD1342543DE82EF95, len(word)), dtype=U))
-            h2 = common.mix((total2[b] - total2[a]) * common.powers(pow(0xD1342543DE82EF95, -1, 1 << 64), len(word) + 1)[a] ^ size.astype(U))
-            shard = np.where(hot[of], h1.view(np.int64), mark[of])
             raw = buf.tobytes()
             content = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
+            digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in content]), np.int64).reshape(-1, 2)
+            h1, h2 = np.ascontiguousarray(digest[:, 0]), np.ascontiguousarray(digest[:, 1])
+            shard = np.where(hot[of], h1, mark[of])
             own = [t.rows.column(c).take(pa.array(text[of])) for c in ("key", "tag")]
             made = [pa.array(begin.astype(np.int32)), pa.array((size - window + 1).astype(np.int32)), pa.array(content, pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *own, *made], ["shard", "h1", "h2", "key", "tag", "first", "many", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h1), pa.array(h2), *own, *made], ["shard", "h1", "h2", "key", "tag", "first", "many", "words"])
 
     return work
 
@@ -145,6 +151,10 @@ class WaveletMatrix:
         return low - start, high - start
 
 
+#: Suffixes in a block of places.
+SPAN = 64
+
+
 class FMIndex:
     """An index of pieces: ``words`` (symbols from 1 on, all pieces one after another), ``at`` (where each begins)."""
 
@@ -177,24 +187,37 @@ class FMIndex:
         self.count = np.append(0, np.cumsum(np.bincount(text, minlength=1 << self.levels)))
         self.bwt = WaveletMatrix(text[suffix - 1], self.levels)
         table = place[suffix].astype(np.int32)
-        self.earliest, width = [table], 1
-        while 2 * width <= n:
-            table = np.minimum(table[: len(table) - width], table[width:])
-            self.earliest.append(table)
+        self.table = table
+        edge = np.full(-n % SPAN, np.iinfo(np.int32).max, np.int32)
+        blocks = np.append(table, edge).reshape(-1, SPAN)
+        self.before = np.minimum.accumulate(blocks, axis=1).ravel()  # from the start of the block on
+        self.behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()  # up to its end
+        least, width = blocks.min(axis=1), 1
+        self.least = [least]
+        while 2 * width <= len(blocks):
+            least = np.minimum(least[: len(least) - width], least[width:])
+            self.least.append(least)
             width *= 2
 
     def first_place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least rank of a place among suffixes low .. high - 1 (at least one)."""
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.int32)
+        left, right = low // SPAN, (high - 1) // SPAN
+        out = np.minimum(self.behind[low], self.before[high - 1])
+        inner = np.flatnonzero(left == right)
+        if len(inner):
+            size = (high - low)[inner]
+            out[inner] = np.minimum.reduceat(self.table[common.expand(low[inner], size)], np.cumsum(size) - size)
+        wide = np.flatnonzero(right - left > 1)
+        a, b = left[wide] + 1, right[wide]  # whole blocks a .. b - 1
+        level = np.frexp((b - a).astype(np.float64))[1] - 1
         for k in np.unique(level).tolist():
-            here = np.flatnonzero(level == k)
-            out[here] = np.minimum(self.earliest[k][low[here]], self.earliest[k][high[here] - (1 << k)])
+            here = level == k
+            out[wide[here]] = np.minimum(out[wide[here]], np.minimum(self.least[k][a[here]], self.least[k][b[here] - (1 << k)]))
         return out
 
-    def covered(self, piece: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
+    def covered(self, piece: np.ndarray, size: np.ndarray, window: int, behind: int = 0) -> np.ndarray:
         """For every window of the pieces (all windows of a piece, then the next's) whether an equal one has an earlier
-        place."""
+        place. behind: 1 asks from just behind the pieces' places."""
         many = size - window + 1
         base = np.cumsum(many) - many
         out = np.zeros(int(many.sum()), bool)
@@ -209,7 +232,7 @@ class FMIndex:
             low[live], high[live] = self.count[symbol] + a, self.count[symbol] + b
             left[live] -= 1
             # the piece itself is in the index, so the range is never empty
-            earlier = self.first_place(low[live], high[live]) < self.places[starts[live] + left[live]]
+            earlier = self.first_place(low[live], high[live]) < self.places[starts[live] + left[live]] + behind
             stopped = live[~earlier]
             whole = live[earlier & (left[live] == 0)]
             done = np.concatenate([stopped, whole])
@@ -225,13 +248,17 @@ class FMIndex:
 
 
 def _search(window: int):
-    """A shard: distinct pieces in; for each, which of its windows have an earlier equal (packed bits) out."""
+    """A shard: distinct pieces in; for each, which of its windows have an earlier equal (packed bits) out: at its earliest
+    place (bits) and, if it stands several times, at its other places (again)."""
+
+    def packed(found: np.ndarray, many: np.ndarray) -> list[bytes]:
+        return [np.packbits(found[b - m : b], bitorder="little").tobytes() for m, b in zip(many.tolist(), np.cumsum(many).tolist())]
 
     def work(table: pa.Table) -> pa.Table:
         column = table.column("words").combine_chunks().cast(pa.large_binary())
         t = common.Texts(pa.RecordBatch.from_arrays([column], ["words"]), "words")
-        hashed, _, _, at = tokens(t)
-        words = np.unique(hashed, return_inverse=True)[1].astype(np.int64) + 1
+        hashed, starts, ends, at = tokens(t)
+        words = common.numbered(t.buf, starts, ends, hashed) + 1
         size = np.diff(at)
         key = table.column("key").to_numpy()
         first = table.column("first").to_numpy().astype(np.int64)
@@ -242,12 +269,12 @@ def _search(window: int):
         rank = np.empty(len(words), np.int64)
         rank[order] = np.cumsum(changed)
         index = FMIndex(words, at, rank)
-        pieces = np.arange(len(size))
-        found = index.covered(pieces, size, window)
-        many = size - window + 1
-        cuts = np.cumsum(many)
-        bits = [np.packbits(found[b - m : b], bitorder="little").tobytes() for m, b in zip(many.tolist(), cuts.tolist())]
-        return pa.table({"h1": table.column("h1"), "h2": table.column("h2"), "key": table.column("key"), "first": table.column("first"), "bits": pa.array(bits, pa.binary()), "some": pa.array([any(b) for b in bits])})
+        several = np.flatnonzero(table.column("n").to_numpy() > 1)
+        bits = packed(index.covered(np.arange(len(size)), size, window), size - window + 1)
+        again: list[bytes | None] = [None] * len(size)
+        for i, b in zip(several.tolist(), packed(index.covered(several, size[several], window, 1), (size - window + 1)[several])):
+            again[i] = b
+        return pa.table({**{c: table.column(c) for c in ("h1", "h2", "key", "first")}, "bits": pa.array(bits, pa.binary()), "again": pa.array(again, pa.binary())})
 
     return work
 
@@ -265,16 +292,11 @@ def _cut(window: int, rest: list[str]):
             bits = flat.field(2).to_pylist()
             text = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
             begin += at[text]
-            all_ = np.array([b is None for b in bits], bool)  # which windows of a piece; null: all
-            np.add.at(change, begin[all_], 1)
-            np.add.at(change, begin[all_] + many[all_] + window - 1, -1)
-            for i in np.flatnonzero(~all_).tolist():
-                own = begin[i] + np.flatnonzero(np.unpackbits(np.frombuffer(bits[i], np.uint8), count=int(many[i]), bitorder="little"))
+            for i, (a, m) in enumerate(zip(begin.tolist(), many.tolist())):
+                own = a + np.flatnonzero(np.unpackbits(np.frombuffer(bits[i], np.uint8), count=m, bitorder="little"))
                 change[own] += 1
                 change[own + window] -= 1
             gone = np.cumsum(change)[:-1] > 0
-            copy = rows.column("_copy").to_numpy(zero_copy_only=False).astype(bool) & (n >= window)
-            gone |= np.repeat(copy, n)
             removed = np.append(0, np.cumsum(gone))
             plain = common.PLAIN[t.buf]
             mark = np.zeros(len(t.buf) + 1, np.int8)
@@ -312,40 +334,41 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_wor
     common.small_batches(spark)
     rest = [c for c in docs.columns if c not in ADDED and (carry or c == "doc_id")]
     text = F.coalesce("text", F.lit(""))
-    key, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.hash(text).alias("tag")  # the tag tells rows of one id apart
-
-    ids = docs.select(key, tag, F.md5(text).alias("digest"), F.xxhash64(text).alias("second"))
-    heads = ids.groupBy("digest", "second").agg(F.min("key").alias("head"))
-    copies = common.stored(ids.join(heads, ["digest", "second"]).where("key <> head").select("key", "tag").distinct(), "copies")
+    kind = docs.select("doc_id").schema[0].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"doc_id must be an integer, not {kind.simpleString()}")
+    key, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("tag")  # the tag tells rows of one id apart
 
     own = docs.select(key, tag, "text")
-    marks = common.stored(own.join(copies, ["key", "tag"], "left_anti").mapInArrow(_minimizers(window), "key long, tag int, first int, many int, mark long, twice boolean"), "minimizers")
+    marks = common.stored(own.mapInArrow(_minimizers(window), "key long, tag long, first int, many int, mark long, twice boolean"), "minimizers")
     often = marks.groupBy("mark").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("mark", (F.col("n") >= hot).alias("hot"))
-    runs_of = common.stored(marks.join(often, "mark").groupBy("key", "tag").agg(F.collect_list(F.struct("first", "many", "mark", "hot")).alias("runs")), "runs")
+    runs_of = common.stored(marks.join(often, "mark").groupBy("key", "tag").agg(F.collect_set(F.struct("first", "many", "mark", "hot")).alias("runs")), "runs")
     common.forget(marks)
     common.release(spark)
-    schema = "shard long, h1 long, h2 long, key long, tag int, first int, many int, words binary"
+    schema = "shard long, h1 long, h2 long, key long, tag long, first int, many int, words binary"
     pieces = common.stored(own.join(runs_of, ["key", "tag"]).select("key", "tag", "text", "runs").mapInArrow(_pieces(window), schema), "pieces")
     common.forget(runs_of)
     common.release(spark)
 
-    distinct = pieces.groupBy("h1", "h2").agg(F.min(F.struct("key", "first")).alias("at"), F.first("shard").alias("shard"), F.first("many").alias("many"), F.first("words").alias("words"))
-    contents = common.stored(distinct.select("h1", "h2", "at.key", "at.first", "shard", "many", "words"), "contents")
+    distinct = pieces.groupBy("h1", "h2").agg(F.min(F.struct("key", "first")).alias("at"), F.first("shard").alias("shard"), F.first("many").alias("many"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    contents = common.stored(distinct.select("h1", "h2", "at.key", "at.first", "shard", "many", "words", "n"), "contents")
     common.release(spark)
     total = contents.agg(F.coalesce(F.sum(F.col("many") + (window - 1)), F.lit(0))).head()[0]
     shards = max(1, -(-total // shard_words))
     sharded = contents.withColumn("shard", F.pmod("shard", F.lit(shards)))
-    verdicts = common.stored(sharded.groupBy("shard").applyInArrow(_search(window), "h1 long, h2 long, key long, first int, bits binary, some boolean"), "verdicts")
+    verdicts = common.stored(sharded.groupBy("shard").applyInArrow(_search(window), "h1 long, h2 long, key long, first int, bits binary, again binary"), "verdicts")
     common.forget(contents)
     common.release(spark)
-    v = verdicts.select("h1", "h2", F.col("key").alias("k0"), F.col("first").alias("f0"), "bits", "some")
-    judged = pieces.drop("words", "shard").join(v, ["h1", "h2"]).withColumn("own", (F.col("key") == F.col("k0")) & (F.col("first") == F.col("f0"))).where("some or not own")
-    found = judged.groupBy("key", "tag").agg(F.collect_list(F.struct("first", "many", F.when(F.col("own"), F.col("bits")).alias("bits"))).alias("found"))
+    v = verdicts.select("h1", "h2", F.col("key").alias("k0"), F.col("first").alias("f0"), F.col("bits").alias("b0"), "again")
+    bits = F.when((F.col("key") == F.col("k0")) & (F.col("first") == F.col("f0")), F.col("b0")).otherwise(F.col("again"))
+    judged = pieces.drop("words", "shard").join(v, ["h1", "h2"]).withColumn("bits", bits).where(F.ltrim(F.hex("bits"), F.lit("0")) != "")
+    found = judged.groupBy("key", "tag").agg(F.collect_set(F.struct("first", "many", "bits")).alias("found"))
     none = F.array().cast("array<struct<first:int,many:int,bits:binary>>")
-    known = common.stored(found.withColumn("copy", F.lit(False)).unionAll(copies.select("key", "tag", none.alias("found"), F.lit(True).alias("copy"))), "found")
+    known = common.stored(found, "found")
     common.forget(pieces)
     common.forget(verdicts)
     common.release(spark)
-    whole = docs.select(*(c for c in dict.fromkeys([*rest, "text"])), key.alias("_key"), tag.alias("_tag")).join(known.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "found", "copy"), ["_key", "_tag"], "left")
-    ready = whole.select(*dict.fromkeys([*rest, "text"]), F.coalesce("found", none).alias("_found"), F.coalesce("copy", F.lit(False)).alias("_copy"))
+    both = dict.fromkeys([*rest, "text"])
+    whole = docs.select(*both, key.alias("_key"), tag.alias("_tag")).join(known.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "found"), ["_key", "_tag"], "left")
+    ready = whole.select(*both, F.coalesce("found", none).alias("_found"))
     return ready.mapInArrow(_cut(window, rest), common.added(docs.select(*rest), n_words="long", n_removed="long", kept_text="string", removed="array<struct<start:int,end:int>>"))

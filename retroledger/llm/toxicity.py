@@ -30,15 +30,43 @@ BITS = 22
 PREFIXES = (1 << 40, 4, 5, 6, 7)
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTE = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n-1) modulo 2**64, kept for the next call."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have[0] = 1
+        _powers[base] = have = np.multiply.accumulate(have)
+    return have[:n]
+
+
+def _running(buf: np.ndarray) -> np.ndarray:
+    """A rolling sum over each beginning of buf, from which any slice gets its feature number in one step. Features may
+    share a number; nothing is taken for equal because of it."""
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _power(_BASE, len(buf)), out=total[1:])
+    return total
+
+
+def _slices(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    h = (total[ends] - total[starts]) * _power(pow(_BASE, -1, 1 << 64), len(total))[starts]
+    return common.mix(h ^ (ends - starts).astype(np.uint64))
+
+
 def features(t: common.Texts, bits: int = BITS, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The hashed words and stems of each text, each once, and where each text's begin; only those wanted, if given."""
     buf = common.LOWER[t.buf]
     starts, ends = common.spans(buf, common.ALNUM)
-    text, total, keys = np.searchsorted(t.at, starts, "right") - 1, common.running(buf), []
+    text, total, keys = np.searchsorted(t.at, starts, "right") - 1, _running(buf), []
     for n in PREFIXES:
         some = np.arange(len(starts)) if n > 1000 else np.flatnonzero(ends - starts > n)
         stop = ends[some] if n > 1000 else starts[some] + n
-        word = (common.hashes(buf, starts[some], stop, total) * np.uint64(2 * (n & 15) + 1) >> np.uint64(64 - bits)).astype(np.int64)
+        word = (_slices(total, starts[some], stop) * np.uint64(2 * (n & 15) + 1) >> np.uint64(64 - bits)).astype(np.int64)
         if wanted is not None:
             met = wanted[word]
             some, word = some[met], word[met]

@@ -190,10 +190,12 @@ def test_decontamination(spark, docs, monkeypatch):
         want[i, len(w), len(hit), tuple(sorted(met)), len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
     told = lambda df: collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in df.collect())
     assert told(decontaminate.contamination(docs, frame)) == want
-    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 60)  # items in several blocks
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 30)  # items in several parts
     assert told(decontaminate.contamination(docs, frame)) == want
-    near = decontaminate.near(decontaminate.build(docs), ["w3", "w9"], 6).collect()
-    assert {r.doc_id for r in near} == {0, 1, 9, None} and decontaminate.near(decontaminate.build(docs), ["w3", "w9"], 5).count() == 0
+    index = decontaminate.build(docs)
+    places = lambda terms, reach: {(r.doc_id, r.start, r.end) for r in decontaminate.near(index, terms, reach).collect()}
+    assert places(["w3", "w9"], 6) == {(0, 5, 11), (9, 5, 11), (1, 5, 11), (None, 5, 11)} and not places(["w3", "w9"], 5)
+    assert places(["u7", "u0"], 5000) >= {(8, 0, 1)} and len(places(["der", "der", "der"], 2)) == 498 and not places(["u0", "w1"], 10**6)
     kept = decontaminate.clean(docs, frame)
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[4])
 
@@ -374,3 +376,49 @@ def test_pieces_of_common():
     h = common.hashes(t.buf, s, e)
     assert h[1] == h[2] != h[0]
     assert hashlib.sha256(t.buf.tobytes()).hexdigest() == hashlib.sha256(b"ab cd  cd ").hexdigest()
+
+
+def morse():
+    """Two different words of 1024 letters that every polynomial hash modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_hash_alike_under_polynomials(spark):
+    a, b = morse()
+    frame = lambda *t: spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(t)], "doc_id long, text string, lang string, source string")
+    rest = [f"r{i}" for i in range(19)]
+    got = substring.deduplicate(frame(" ".join([a, *rest]), " ".join([b, *rest]))).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    hit = decontaminate.contamination(frame(f"{a} and more"), spark.createDataFrame([(1, f"{b} and more")], "item_id long, text string")).head()
+    assert (hit.n_hit, hit.n_items) == (0, 0)
+    counted = rules.measure(frame(f"{a}\n{b}\n" + " ".join([a, *rest[:7], b, *rest[:7]]))).head()
+    assert (counted.n_dup_lines, counted.n_repeat_words) == (0, 0)
+    scored = {r.doc_id: r.n_known for r in lm.score(frame(a, b), F.col("doc_id") == 0).collect()}
+    assert scored == {0: 2, 1: 1}
+
+
+def test_numbers_follow_the_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab cd ab ef"])], ["text"])
+    t = next(common.texts([batch]))
+    s, e = common.spans(t.buf, common.PLAIN)
+    assert len(set(common.numbered(t.buf, s, e, np.zeros(4, np.uint64)).tolist())) == 3  # all hashes alike
+    long = np.frombuffer(b"x" * 200 + b"y" * 33 + b"z", np.uint8)
+    cuts = [(0, 200), (150, 64), (200, 33), (233, 1), (0, 0), (100, 97), (1, 96)]
+    got = common.xxh64(long, np.array([a for a, _ in cuts]), np.array([n for _, n in cuts]), 42)
+    assert got.tolist() == [xxhash.xxh64_intdigest(long.tobytes()[a : a + n], 42) for a, n in cuts]
+
+
+def test_windows_are_compared_by_their_words(monkeypatch):
+    word = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 5, 6, 7, 8])
+    of = np.zeros(len(word), np.int64)
+    assert sorted(rules._repeated(word, of).tolist()) == [0, 9]
+    monkeypatch.setattr(common, "gram_hashes", lambda h, n: np.zeros(len(h) - n + 1, np.uint64))  # every window hashes alike
+    assert sorted(rules._repeated(word, of).tolist()) == [0, 9]
+
+
+def test_long_periodic_text(spark):
+    df = spark.createDataFrame([(1, "tick tock " * 4000), (2, "x " * 3000)], "doc_id int, text string")
+    assert {r.doc_id: (r.n_removed, r.kept_text) for r in substring.deduplicate(df).collect()} == {1: (7998, "tick tock"), 2: (2999, "x")}
+    with pytest.raises(TypeError):
+        substring.deduplicate(df.selectExpr("string(doc_id) doc_id", "text"))

@@ -1,15 +1,18 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text is reduced to its words (lower case, one space between). Each rule is a regular expression over such text with
-keywords, a label and a tier. Rules of which no keyword occurs are left out, text by text; those left are joined, in
-their order, into one alternation for each tier. A tier's matches are then masked, so a later tier finds nothing inside
-or across an interval that an earlier one has taken; within a tier the leftmost match wins, then the earlier rule, and
-rules stand longest name first. Every step is linear in the text. Base phrases are found apart from the rules and always
+keywords, a label and a tier. Rules that lack a keyword in the text are left out, text by text; each rule left reports all
+its matches as intervals of words. Overlaps are resolved by priority and containment: a detection goes if its interval lies
+within that of another of the same or a stronger tier (of equal intervals in one tier the rule that comes first stays; rules
+stand longest pattern first). Intervals that merely cross both stay. Base phrases are found apart from the rules and always
 stay.
 
+As no rule accepts more than ``REACH`` words, what may contain a detection stands among those that start shortly before it,
+so each is compared with a bounded number of neighbours, and the work is linear in the text.
+
 Rules come from a table of licenses and a few templates (notice, identifier, title, tag), and a list of single clauses.
 
-Edge cases: null and empty texts have no words, no labels and the score 0; repeated matches count once in ``found``;
+Edge cases: null and empty texts have no words, no labels and the score 0; every place of a match stands in ``found``;
 repeated rows are scanned alike; an empty table gives an empty result; other columns pass through except those added.
 """
 
@@ -119,7 +122,6 @@ CLAUSES = (
     ("public-domain", "public domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 2),
     ("public-domain", "rights reserved", "no rights reserved", 2),
     ("reserved", "reserved", "all rights (?:are )?reserved", 2),
-    ("reserved", ("rechte vorbehalten", "droits réservés", "derechos reservados"), "(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", 2),
     ("reserved", "rechte vorbehalten", "alle rechte vorbehalten", 2),
     ("reserved", "droits réservés", "tous droits réservés", 2),
     ("reserved", "derechos reservados", "todos los derechos reservados", 2),
@@ -133,14 +135,80 @@ CLAUSES = (
     ("copyright", "copyright", "copyright (?:c|by|of)", 3),
     ("copyleft", "copyleft", "copyleft", 3),
     ("terms", "terms of use", "terms of use", 3),
+    ("mit", "shall be included in all copies", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1),
+    ("mit-0", "without restriction", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", 2),
+    ("isc", "above copyright notice", "provided that the above copyright notice and this permission notice appear in all copies", 1),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice", 1),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice", 1),
+    ("bsd-3-clause", "endorse or promote", "may be used to endorse or promote products derived from this software without specific prior written permission", 1),
+    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1),
+    ("apache-2.0", "apache org", "(?:http|https) www apache org licenses license 2 0(?: txt| html)?", 1),
+    ("apache-2.0", "compliance with the license", "you may not use this file except in compliance with the license", 1),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation", 2),
+    ("gpl", "received a copy of the gnu", "you should have received a copy of the gnu general public license", 1),
+    ("lgpl", "received a copy of the gnu", "you should have received a copy of the gnu (?:lesser|library) general public license", 1),
+    ("agpl-3.0", "received a copy of the gnu", "you should have received a copy of the gnu affero general public license", 1),
+    ("gpl", "either version", "either version [123](?: 0)? of the license or (?:at your option )?any later version", 2),
+    ("gpl", "gnu org", "(?:http|https) www gnu org licenses(?: gpl(?: [123] 0)?(?: html| txt)?)?", 2),
+    ("lgpl", "gnu org", "(?:http|https) www gnu org licenses lgpl(?: [23] [01])?(?: html| txt)?", 2),
+    ("agpl-3.0", "gnu org", "(?:http|https) www gnu org licenses agpl(?: 3 0)?(?: html| txt)?", 2),
+    ("gfdl-1.3", "invariant sections", "with no invariant sections no front cover texts and no back cover texts", 1),
+    ("mpl-2.0", "subject to the terms of the mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 1),
+    ("mpl-2.0", "mozilla org", "(?:http|https) (?:www )?mozilla org mpl 2 0", 1),
+    ("epl-2.0", "eclipse org", "(?:http|https) www eclipse org legal epl 2 0", 1),
+    ("epl-1.0", "eclipse org", "(?:http|https) www eclipse org legal epl v10(?: html)?", 1),
+    ("eclipse", "accompanying materials", "this program and the accompanying materials are made available under the terms of the", 2),
+    ("bsl-1.0", "boost org", "(?:http|https) www boost org license 1 0 txt", 1),
+    ("zlib", "express or implied warranty", "this software is provided as is without any express or implied warranty", 1),
+    ("zlib", "origin of this software", "the origin of this software must not be misrepresented", 1),
+    ("unlicense", "unlicense org", "(?:http|https) unlicense org", 1),
+    ("cc0-1.0", "publicdomain", "creativecommons org publicdomain zero 1 0", 1),
+    ("public-domain", "publicdomain", "creativecommons org publicdomain mark 1 0", 1),
+    ("cc-by", "creativecommons", "creativecommons org licenses by [1234] [05]", 1),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1234] [05]", 1),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1234] [05]", 1),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1234] [05]", 1),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1234] [05]", 1),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1234] [05]", 1),
+    ("cc-by", "creative commons attribution", "creative commons attribution(?: [1234] [05])?(?: international| generic| unported)?(?: license)?", 2),
+    ("ofl-1.1", "sil org", "(?:http|https) scripts sil org ofl", 1),
+    ("wtfpl", "wtfpl", "(?:http|https) www wtfpl net", 1),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 1),
+    ("python-2.0", "psf is making", "psf is making python available to licensee on an as is basis", 1),
+    ("proprietary", "trade secret", "(?:contains|constitutes) (?:confidential )?trade secrets?(?: and confidential information)?", 2),
+    ("proprietary", "is confidential", "this (?:document|file|software) is confidential", 2),
+    ("proprietary", ("unauthorized", "unauthorised"), "unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: of this (?:file|software|document))?(?: via any medium)? is (?:strictly )?prohibited", 2),
+    ("proprietary", "reverse engineer", "you may not (?:copy modify )?(?:or )?reverse engineer", 2),
+    ("proprietary", "license agreement", "end user license agreement", 2),
+    ("proprietary", "evaluation purposes", "for evaluation purposes only", 2),
+    ("proprietary", "not for distribution", "not for distribution", 3),
+    ("non-commercial", "commercial use", "for (?:your )?personal (?:and )?non ?commercial use(?: only)?", 2),
+    ("non-commercial", ("use only", "purposes only"), "for (?:academic and |non ?commercial )?research (?:and educational )?(?:use|purposes) only", 2),
+    ("no-derivatives", "derivative works", "(?:no|may not create|not create) derivative works", 2),
+    ("share-alike", "same license", "distribute (?:your contributions|the resulting work) under the same license", 2),
+    ("attribution", "appropriate credit", "you must give appropriate credit", 2),
+    ("no-warranty", "merchantability", "(?:implied )?warrant(?:y|ies) of merchantability(?: (?:and|or) fitness for a particular purpose)?", 3),
+    ("no-liability", "in no event shall", "in no event shall (?:the )?(?:authors?|copyright holders?|contributors)(?: or (?:the )?(?:authors?|copyright holders?|contributors))? be liable", 3),
+    ("patent", "patent license", "(?:royalty free|irrevocable) patent license", 3),
+    ("trademark", "registered trademark", "registered trademarks? of", 3),
+    ("reserved", "rights reserved", "some rights reserved", 2),
+    ("reserved", "diritti riservati", "tutti i diritti riservati", 2),
+    ("reserved", "direitos reservados", "todos os direitos reservados", 2),
+    ("reserved", "rechten voorbehouden", "alle rechten voorbehouden", 2),
+    ("copyright", "urheberrecht", "urheberrechtlich geschützt", 3),
+    ("public-domain", "gemeinfrei", "gemeinfrei", 3),
+    ("public-domain", "domaine public", "(?:dans le |du )?domaine public", 3),
+    ("public-domain", "dominio público", "(?:de |en el )?dominio público", 3),
 )
 
 
 @dataclass(frozen=True)
 class Rule:
+    """needs: groups of keywords; what the pattern accepts holds one of each group."""
+
     name: str
     label: str
-    keywords: tuple[str, ...]
+    needs: tuple[tuple[str, ...], ...]
     pattern: str
     tier: int
 
@@ -154,15 +222,19 @@ def rules() -> list[Rule]:
     out = []
     grant = "(?:licen[sc]ed|released|distributed|available|published|shared|provided) under (?:the )?(?:terms of )?(?:the )?"
     for n, (label, keyword, name, spdx) in enumerate(LICENSES):
-        keyword = _several(keyword)
-        out.append(Rule(f"notice-{n}", label, keyword, grant + name, 1))
-        out.append(Rule(f"identifier-{n}", label, ("spdx",), f"spdx license identifier {spdx}(?= )", 1))
-        out.append(Rule(f"title-{n}", label, keyword, f"(?:the )?{name}", 2))
-        out.append(Rule(f"tag-{n}", label, ("licen",), f"(?:licen[cs]e|licen[sc]ed under)(?: the)? {spdx}(?= )", 3))
-    out += [Rule(f"clause-{n}", label, _several(keyword), pattern, tier) for n, (label, keyword, pattern, tier) in enumerate(CLAUSES)]
+        own, begin = _several(keyword), re.match("[a-z0-9 ]+", spdx)[0]
+        out.append(Rule(f"notice-{n}", label, (own,), grant + name, 1))
+        out.append(Rule(f"identifier-{n}", label, (("spdx",), (begin,)), f"spdx license identifier {spdx}", 1))
+        out.append(Rule(f"title-{n}", label, (own,), f"(?:the )?{name}", 2))
+        out.append(Rule(f"tag-{n}", label, (("licen",), (begin,)), f"(?:licen[cs]e|licen[sc]ed under)(?: the)? {spdx}", 3))
+    out += [Rule(f"clause-{n}", label, (_several(keyword),), pattern, tier) for n, (label, keyword, pattern, tier) in enumerate(CLAUSES)]
     return sorted(out, key=lambda r: (r.tier, -len(r.pattern), r.name))
 
 
+#: No rule accepts more words: a space in a pattern stands for one at most.
+REACH = max(r.pattern.count(" ") for r in rules()) + 1
+
+
 def _always(pattern: str) -> str:
     """What is left of a pattern without its groups, optional or not, and optional letters: all that it accepts holds this."""
     while (bare := re.sub(r"\((?:[^()\\]|\\.)*\)\??", "\0", pattern)) != pattern:
@@ -173,7 +245,7 @@ def _always(pattern: str) -> str:
 def gate() -> list[str]:
     """Any text with a match of a rule, or with a base phrase, holds one of these: "licen" stands for the rules that always
     have it, as many of their keywords are common words; the others have their keywords."""
-    words = {p for p, _ in BASE}.union(*(("licen",) if "licen" in _always(r.pattern) else r.keywords for r in rules()))
+    words = {p for p, _ in BASE}.union(*(("licen",) if "licen" in _always(r.pattern) else r.needs[0] for r in rules()))
     return sorted(w for w in words if not any(x in w for x in words - {w}))
 
 
@@ -186,11 +258,49 @@ def words_text(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _BETWEEN, " ")), F.lit(" "))
 
 
-def _tier(text: Column, tier: int, every: list[Rule]) -> tuple[Column, Column]:
-    """The rules of a tier that may match (those of which a keyword occurs), and their alternation."""
-    kept = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.label).alias("label"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.pattern).alias("pattern")) for r in every if r.tier == tier))
-    active = F.filter(kept, lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k)))
-    return active, F.concat(F.lit("(?<= )(?:"), F.array_join(F.transform(active, lambda r: r["pattern"]), "|"), F.lit(")(?= )"))
+def _active(text: Column, every: list[Rule]) -> Column:
+    """The rules that may match: one keyword of each of their groups stands in the text."""
+    words = sorted({k for r in every for g in r.needs for k in g})
+    kept = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.tier).alias("tier"), F.lit(n).alias("rank"), F.array(*(F.array(*map(F.lit, g)) for g in r.needs)).alias("needs"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")) for n, r in enumerate(every)))
+    return _bound(F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, k)), lambda have: F.filter(kept, lambda r: F.forall(r["needs"], lambda g: F.arrays_overlap(g, have))))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+_FOUND = "array<struct<start:int,rest:int,tier:int,rank:int,end:int,rule:string,label:string>>"
+
+
+def _places(text: Column):
+    """All matches of a rule as intervals of words: the matched words are bracketed, and the brackets looked up."""
+    begin, end = "\u0001", "\u0002"
+
+    def intervals(marks: Column, r: Column) -> Column:
+        at = lambda side: F.transform(F.filter(marks, lambda m: m[side]), lambda m: m["i"])
+        one = lambda a, b: F.struct(a.alias("start"), (-b).alias("rest"), r["tier"].alias("tier"), r["rank"].alias("rank"), (b + 1).alias("end"), r["rule"].alias("rule"), r["label"].alias("label"))
+        return F.zip_with(at("a"), at("b"), one).cast(_FOUND)
+
+    def of(r: Column) -> Column:
+        marked = F.regexp_replace(text, r["pattern"], F.lit(f"{begin}$0{end}"))
+        struct = lambda w, i: F.struct(w.startswith(begin).alias("a"), w.endswith(end).alias("b"), (i - 1).alias("i"))
+        marks = lambda m: F.filter(F.transform(F.split(m, " "), struct), lambda x: x["a"] | x["b"])
+        return _bound(marked, lambda m: F.when(F.contains(m, F.lit(begin)), _bound(marks(m), lambda x: intervals(x, r))).otherwise(F.array().cast(_FOUND)))
+
+    return of
+
+
+def _kept(found: Column, active: Column) -> Column:
+    """Sorted detections without those that lie within another of the same or a stronger tier. All that could contain one
+    stand before it, and start at most REACH words earlier, where each rule starts once a word at most."""
+    back = F.size(active) * REACH
+
+    def free(d: Column, i: Column) -> Column:
+        near = F.slice(found, F.greatest(i - back, F.lit(0)) + 1, F.least(back, i))
+        return ~F.exists(near, lambda e: (e["end"] >= d["end"]) & (e["tier"] <= d["tier"]))
+
+    return F.filter(found, free)
 
 
 def _stands(phrase: str):
@@ -206,23 +316,13 @@ def _stands(phrase: str):
     return here
 
 
-def _named(tier: int):
-    """The first active rule of a tier that matches the whole of some matched words."""
-
-    def named(m: Column) -> Column:
-        rule = F.element_at(F.filter(f"_a{tier}", lambda r: F.regexp_like(F.concat(F.lit(" "), m, F.lit(" ")), F.concat(F.lit("^ (?:"), r["pattern"], F.lit(") $")))), 1)
-        return F.struct(rule["rule"].alias("rule"), rule["label"].alias("label"), F.lit(tier).alias("tier"), m.alias("matched"))
-
-    return named
-
-
 def _of_tier(tier: int):
     return lambda f: f["tier"] == tier
 
 
 def scan(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs (without the text) with n_words, n_base, first_word, last_word, base_labels (array), found (array of rule,
-    label, tier and matched words, each once), labels (array: both, distinct, sorted) and score: the confidence of the
+    label, tier, start and end in words, in the order of the text), labels (array: both, distinct, sorted) and score: the confidence of the
     strongest tier with a match, 0.4 for a base phrase alone, else 0."""
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "found", "labels", "score", column)
     rest = [c for c in docs.columns if c not in added]
@@ -239,18 +339,12 @@ def scan(docs: DataFrame, column: str = "text") -> DataFrame:
         any_base = any_base | F.contains("_t1", F.lit(f" {phrase} "))
     split = gated.withColumn("_words", F.when(any_base, F.split(F.trim("_t1"), " ")))
     placed = split.select(*rest, "n_words", "_t1", F.concat(*places).alias("_places"), F.array_compact(F.array(*(F.when(F.contains("_t1", F.lit(f" {p} ")), F.lit(x)) for p, x in BASE))).alias("base_labels"))
-    every, now, found = rules(), placed, []
-    for tier in sorted(CONFIDENCE):
-        at = f"_t{tier}"
-        active, pattern = _tier(F.col(at), tier, every)
-        now = now.withColumn(f"_a{tier}", F.when(F.col(at).isNotNull(), active)).withColumn(f"_p{tier}", F.when(F.size(f"_a{tier}") > 0, pattern))
-        now = now.withColumn(f"_m{tier}", F.when(F.col(f"_p{tier}").isNotNull(), F.array_distinct(F.regexp_extract_all(F.col(at), F.col(f"_p{tier}"), F.lit(0)))))
-        some = F.size(f"_m{tier}") > 0
-        masked = F.regexp_replace(F.col(at), F.col(f"_p{tier}"), F.lit("\u0001"))
-        now = now.withColumn(f"_t{tier + 1}", F.when(some, masked).otherwise(F.col(at)))
-
-        found.append(F.when(some, F.transform(f"_m{tier}", _named(tier))).otherwise(F.array().cast("array<struct<rule:string,label:string,tier:int,matched:string>>")))
-    now = now.withColumn("found", F.concat(*found))
+    text = F.col("_t1")
+    now = placed.withColumn("_active", F.when(text.isNotNull(), _active(text, rules())))
+    every = now.withColumn("_all", F.when(F.size("_active") > 0, F.array_sort(F.flatten(F.transform("_active", _places(text))))))
+    shown = lambda d: F.struct(d["rule"].alias("rule"), d["label"].alias("label"), d["tier"].alias("tier"), d["start"].alias("start"), d["end"].alias("end"))
+    left = F.when(F.size("_all") > 0, F.transform(_kept(F.col("_all"), F.col("_active")), shown))
+    now = every.withColumn("found", F.coalesce(left, F.array().cast("array<struct<rule:string,label:string,tier:int,start:int,end:int>>")))
     labels = F.array_sort(F.array_union("base_labels", F.array_compact(F.transform("found", lambda f: f["label"]))))
     score = F.lit(0.0)
     score = F.when(F.size("base_labels") > 0, 0.4).otherwise(score)

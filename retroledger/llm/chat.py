@@ -2,21 +2,25 @@
 
 Records come in many layouts (lists of messages, prompt and response, instruction and input, one row a turn). The nested
 field paths that a record has, of those that any layout knows, are hashed; the hash selects the layout's mapping, a
-declaration of where roles and texts lie. All become rows of canonical turns: key, k, role, text. These are rendered with
-a template that marks turns; control strings inside texts are escaped so that they can be read back exactly. The loss
-mask lists the byte spans of assistant texts in the output.
-
-Edge cases: a null text is the empty text, a null role the empty role; a record of an unknown layout has the layout
-'unknown' and no turns; equal turns (repeated rows) all stand, ordered by turn, role and text; fields that no layout knows
-do not matter; an empty table gives an empty result. A conversation's rendering is one value, so its rows meet in one
-group; all work within it is linear.
+declaration of where roles and texts lie. A table with one row a turn has the field paths of its schema, which are hashed
+and looked up in the same way. All become rows of canonical turns: key, k, role, text. These are rendered with a template
+that marks turns; control strings inside texts are escaped so that they can be read back exactly. The loss mask lists the
+byte spans of assistant texts in the output.
+
+Edge cases: a null text is the empty text, a null role the empty role; a null key is a conversation of its own; an optional
+text that is missing or empty makes no turn; a record of an unknown layout has the layout 'unknown' and no turns; equal turns
+(repeated rows) all stand, ordered by turn, role and text; fields that no layout knows do not matter; an empty table gives
+an empty result. A conversation's rendering is one value, so its rows meet in one group; all work within it is linear.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of common templates begin like this; an opener followed by any of them is escaped with a backslash.
@@ -25,69 +29,106 @@ _OPENER, _REST = r"(<|\[)", r"(?=\||/?s>|/?INST\])"
 
 @dataclass(frozen=True)
 class Layout:
-    """turns: (role path or fixed role, text path) pairs; paths below ``each`` (an array) if there is one."""
+    """turns: (role path or fixed role, text path) pairs; paths below ``each`` (an array) if there is one, with ``lead`` pairs
+    before them. optional: text paths that a record may lack. order: the path that orders rows, if a row is one turn."""
 
     name: str
     turns: tuple[tuple[str, str], ...]
     each: str | None = None
+    lead: tuple[tuple[str, str], ...] = ()
+    optional: tuple[str, ...] = ()
+    order: str | None = None
 
     def paths(self) -> list[str]:
+        if self.order:
+            return [self.order, *(p for pair in self.turns for p in pair)]
         if self.each:
-            return [f"{self.each}[].{p}" for pair in self.turns for p in pair]
+            return [f"{self.each}[].{p}" for pair in self.turns for p in pair] + [p for _, p in self.lead]
         return [p for _, p in self.turns]
 
+    def marks(self) -> list[str]:
+        """The sorted paths, one a line, of every record that fits: with any of the optional ones left out."""
+        must = [p for p in self.paths() if p not in self.optional]
+        return ["\n".join(sorted([*must, *more])) for n in range(len(self.optional) + 1) for more in itertools.combinations(self.optional, n)]
 
+
+_SYSTEM = (("system", "system"),)
 LAYOUTS = (
-    Layout("messages", (("role", "content"),), "messages"),
-    Layout("messages_text", (("role", "text"),), "messages"),
-    Layout("turns", (("role", "text"),), "turns"),
-    Layout("dialog", (("speaker", "text"),), "dialog"),
-    Layout("conversations", (("from", "value"),), "conversations"),
-    Layout("prompt_response", (("user", "prompt"), ("assistant", "response"))),
-    Layout("prompt_completion", (("user", "prompt"), ("assistant", "completion"))),
-    Layout("system_prompt_response", (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("question_answer", (("user", "question"), ("assistant", "answer"))),
-    Layout("instruction", (("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction_input", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("instruction_response", (("user", "instruction"), ("assistant", "response"))),
-    Layout("chosen", (("user", "prompt"), ("assistant", "chosen"))),
+    Layout("messages", (("role", "content"),), "messages", _SYSTEM, ("system",)),
+    Layout("messages_text", (("role", "text"),), "messages", _SYSTEM, ("system",)),
+    Layout("turns", (("role", "text"),), "turns", _SYSTEM, ("system",)),
+    Layout("dialog", (("speaker", "text"),), "dialog", _SYSTEM, ("system",)),
+    Layout("conversations", (("from", "value"),), "conversations", _SYSTEM, ("system",)),
+    Layout("prompt_response", (*_SYSTEM, ("user", "prompt"), ("assistant", "response")), optional=("system",)),
+    Layout("prompt_completion", (*_SYSTEM, ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
+    Layout("question_answer", (*_SYSTEM, ("user", "question"), ("assistant", "answer")), optional=("system",)),
+    Layout("instruction", (*_SYSTEM, ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("system", "input")),
+    Layout("instruction_response", (*_SYSTEM, ("user", "instruction"), ("user", "context"), ("assistant", "response")), optional=("system", "context")),
+    Layout("chosen", (*_SYSTEM, ("user", "prompt"), ("assistant", "chosen")), optional=("system",)),
+)
+#: Layouts of tables in which a row is one turn.
+ROW_LAYOUTS = (
+    Layout("turn_rows", (("role", "text"),), order="turn"),
+    Layout("content_rows", (("role", "content"),), order="turn"),
+    Layout("speaker_rows", (("speaker", "text"),), order="turn"),
+    Layout("message_rows", (("role", "content"),), order="position"),
 )
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-TURN_ROWS = ("turn", "role", "text")
 
 
 def _known(layouts: tuple[Layout, ...]) -> list[str]:
     return sorted({p for x in layouts for p in x.paths()})
 
 
+def _keys(value: Column) -> Column:
+    """The field names of an object (a variant); none of anything else."""
+    return F.coalesce(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), F.array().cast("array<string>"))
+
+
+def paths_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The field paths of a record (a variant), of those in arrays the ones that any element has."""
+    out = [_keys(record)]
+    for each in sorted({x.each for x in layouts if x.each}):
+        items = F.try_variant_get(record, f"$.{each}", "array<variant>")
+        inner = F.array_distinct(F.flatten(F.transform(items, _keys)))
+        out.append(F.coalesce(F.transform(inner, _below(each)), F.array().cast("array<string>")))
+    return F.concat(*out)
+
+
+def _below(each: str):
+    return lambda name: F.concat(F.lit(f"{each}[]."), name)
+
+
 def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """The hash of those known field paths that a record (a variant) has. A field that is there with null counts."""
-    text = F.schema_of_variant(record)  # names and nesting of all fields
-    have = []
-    for path in _known(layouts):
-        each, _, field = path.rpartition("[].")
-        name = lambda x: rf"(^OBJECT<|, )`?{x}`?: "
-        top = F.schema_of_variant(F.try_variant_get(record, f"$.{each}", "variant")) if each else text
-        inner = F.regexp_replace(top, r"^ARRAY<(.*)>$", "$1") if each else _outer(text)
-        have.append(F.when(_outer(inner).rlike(name(field)), F.lit(path)))
-    return F.xxhash64(F.array_join(F.array_compact(F.array(*have)), "\n"))
+    known = F.array(*map(F.lit, _known(layouts)))
+    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths_of(record, layouts), known)), "\n"))
 
 
-def _outer(kind: Column) -> Column:
-    """The type text of an object without what its fields hold: nested brackets are cut away from the inside."""
-    body = F.regexp_extract(kind, r"^OBJECT<(.*)>$", 1)
-    for _ in range(4):
-        body = F.regexp_replace(body, r"<[^<>]*>", "")
-    return F.when(kind.startswith("OBJECT<"), F.concat(F.lit("OBJECT<"), body, F.lit(">")))
+def layout_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The name of the layout that the record's fingerprint selects, or 'unknown'."""
+    mark = F.transform(F.array(fingerprint(record, layouts)), lambda m: _selected(m, layouts))
+    return F.get(mark, 0)
 
 
-def layout_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    found, mark = F.lit("unknown"), fingerprint(record, layouts)
+def _selected(mark: Column, layouts: tuple[Layout, ...]) -> Column:
+    found = F.lit("unknown")
     for x in layouts:
-        found = F.when(mark == F.xxhash64(F.lit("\n".join(sorted(x.paths())))), F.lit(x.name)).otherwise(found)
+        found = F.when(mark.isin(*(F.xxhash64(F.lit(m)) for m in x.marks())), F.lit(x.name)).otherwise(found)
     return found
 
 
+def row_layout(schema: StructType, layouts: tuple[Layout, ...] = ROW_LAYOUTS) -> Layout | None:
+    """The layout that the fingerprint of a table's schema selects, if a row of it is one turn."""
+    known = set(_known(layouts))
+    mark = _digest("\n".join(sorted(known & {f.name for f in schema})))
+    return next((x for x in layouts if mark in map(_digest, x.marks())), None)
+
+
+def _digest(paths: str) -> str:
+    return hashlib.sha256(paths.encode()).hexdigest()
+
+
 def _role(role: Column) -> Column:
     out = role
     for a, b in ROLES.items():
@@ -100,29 +141,47 @@ def _turn(role: str, text: str):
     return lambda t: F.struct(_role(get(t, role)).alias("role"), get(t, text).alias("text"))
 
 
+def turns(table: DataFrame, key: str) -> DataFrame:
+    """key, k, role, text of a table of any known layout: by the fingerprint of its schema if a row is one turn, else by that
+    of each row."""
+    own = table.select(*(F.col(f"`{c}`") for c in table.columns if c != key))
+    layout = row_layout(own.schema)
+    if layout is not None:
+        return turns_of_rows(table, key, layout)
+    return turns_of_records(table.select(F.col(key).alias("key"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in own.columns)), {"ignoreNullFields": "false"}).alias("_record")), "key", "_record")
+
+
 def turns_of_records(records: DataFrame, key: str, column: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """key, k, role, text of records in JSON. The role names of other layouts become system, user and assistant; an
-    optional text (the input of an instruction) that is empty makes no turn."""
+    """key, k, role, text of records in JSON. The role names of other layouts become system, user and assistant."""
     opened = records.select(F.col(key).alias("key"), F.try_parse_json(column).alias("_v")).withColumn("_layout", layout_of(F.col("_v"), layouts))
     kind = "array<struct<role:string,text:string>>"
     turns = F.lit(None).cast(kind)
     for x in layouts:
+        made = _fixed(x.lead if x.each else x.turns, x.optional)
         if x.each:
-            made = F.transform(F.try_variant_get("_v", f"$.{x.each}", "array<variant>"), _turn(*x.turns[0]))
-        else:
-            every = [F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get("_v", f"$.{p}", "string"), F.lit("")).alias("text")) for role, p in x.turns]
-            made = F.filter(F.array(*every), lambda t: (t["text"] != "") | (t["role"] != "user")) if x.name == "instruction_input" else F.array(*every)
+            made = F.concat(made, F.transform(F.try_variant_get("_v", f"$.{x.each}", "array<variant>"), _turn(*x.turns[0])))
         turns = F.when(F.col("_layout") == x.name, made.cast(kind)).otherwise(turns)
     out = opened.select("key", F.posexplode(turns).alias("k", "_t"))
     return out.select("key", F.col("k").cast("long").alias("k"), "_t.role", "_t.text")
 
 
-def turns_of_rows(rows: DataFrame, key: str) -> DataFrame:
-    """key, k, role, text of a table with one row a turn (the layout of TURN_ROWS); roles are kept as they are."""
-    missing = [c for c in (key, *TURN_ROWS) if c not in rows.columns]
+def _fixed(pairs: tuple[tuple[str, str], ...], optional: tuple[str, ...]) -> Column:
+    """The turns of a record's fixed roles; an optional text that is empty makes none."""
+    made = []
+    for role, path in pairs:
+        text = F.coalesce(F.try_variant_get("_v", f"$.{path}", "string"), F.lit(""))
+        turn = F.struct(F.lit(role).alias("role"), text.alias("text"))
+        made.append(F.when(text != "", turn) if path in optional else turn)
+    return F.array_compact(F.array(*made)).cast("array<struct<role:string,text:string>>")
+
+
+def turns_of_rows(rows: DataFrame, key: str, layout: Layout = ROW_LAYOUTS[0]) -> DataFrame:
+    """key, k, role, text of a table with one row a turn; roles are kept as they are."""
+    missing = [c for c in (key, *layout.paths()) if c not in rows.columns]
     if missing:
         raise ValueError(f"not a table of turns: it lacks {', '.join(missing)}")
-    own = rows.select(F.col(key).alias("key"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ((role, text),) = layout.turns
+    own = rows.select(F.col(key).alias("key"), F.col(layout.order).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     order = Window.partitionBy("key").orderBy("turn", "role", "text")
     return own.select("key", (F.row_number().over(order) - 1).cast("long").alias("k"), "role", "text")
 

@@ -27,12 +27,13 @@ CHUNK = 2_000_000
 # ---- scratch tables -------------------------------------------------------------------------------------------
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that setting is absent (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset a folder of this machine serves, but only if driver
+    and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = getattr(scratch, "own", None)
-        if root is None:
-            root = scratch.own = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate tables")
+        root = "file://" + tempfile.gettempdir() + "/scratch"
     return root
 
 

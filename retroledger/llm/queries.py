@@ -38,7 +38,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     record = json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
     more = spark.range(1).select(F.lit(-7).cast("long").alias("id"), F.lit(record).alias("record"))
-    turns = chat.turns_of_rows(_read(spark, sf_dir, "conversations"), "conv_id").unionByName(chat.turns_of_records(more, "id", "record"))
+    turns = chat.turns(_read(spark, sf_dir, "conversations"), "conv_id").unionByName(chat.turns_of_records(more, "id", "record"))
     made = chat.render(turns)
     read = made.select("key", "formatted", chat.parse(F.col("formatted")).alias("turns"), F.array_join(chat.masked(F.col("formatted"), F.col("loss")), "").alias("lost"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

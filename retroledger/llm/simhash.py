@@ -7,9 +7,10 @@ linked. Any two that meet are within the radius, so linking all to the smallest
 without writing all pairs. Copies have one fingerprint and cost one ball.
 
 Variants travel packed: a task sorts them into buckets by a bijective hash and sends each bucket as one binary row (hash
-and number of the flipped bits: ten bytes a variant). ``passes`` passes each treat one share of the hash range and free
-its shuffle before the next, which bounds the disk. Components come from alternating large-star and small-star rounds
-over tables, so no task or driver holds all links.
+and number of the flipped bits: ten bytes a variant). ``passes`` passes each treat the variants of one class and free their
+shuffle before the next, which bounds the disk. The class is a set of parities of the variant; a flip changes it in a known
+way, so a pass makes only the variants that belong to it. Components come from alternating large-star and small-star rounds
+over tables, so no task or driver holds all links; they are worked out on distinct fingerprints, which documents join once.
 
 Edge cases: null, empty and blank texts have the fingerprint zero, and link like any other; texts of one to three words
 are one shingle; repeated rows share fingerprint and component; null ids take no part in choosing the smallest id, and a
@@ -86,12 +87,26 @@ def ball(half: int) -> np.ndarray:
 
 SPREAD = 0xD1342543DE82EF95
 GATHER = pow(SPREAD, -1, 1 << 64)
-SLAB = 500
+SLAB = 4000
 
 
-def _emit(masks: np.ndarray, low: int, high: int, buckets: int):
-    """A task: fingerprints in, packed variants whose hash lies in [low, high) out."""
-    width = U((high - low) // buckets)
+#: Fixed odd-looking sets of bits whose parities make the class of a fingerprint; any that are independent will do.
+PARITIES = tuple(U(0x9E3779B97F4A7C15 * (2 * k + 1) & M64) for k in range(10))
+
+
+def classes(x: np.ndarray, bits: int) -> np.ndarray:
+    """A class below 2**bits of each value; that of a ^ b is the class of a ^ the class of b."""
+    out = np.zeros(len(x), np.int64)
+    for k in range(bits):
+        out |= (np.bitwise_count(x & PARITIES[k]).astype(np.int64) & 1) << k
+    return out
+
+
+def _emit(masks: np.ndarray, part: int, bits: int, buckets: int):
+    """A task: fingerprints in, packed variants of one class out."""
+    of_mask = classes(masks, bits)
+    wanted = [np.flatnonzero(of_mask == c) for c in range(1 << bits)]
+    width = U(M64 // buckets)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
@@ -106,13 +121,14 @@ def _emit(masks: np.ndarray, low: int, high: int, buckets: int):
     def flush(pending: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, flips = [], []
         every = np.concatenate(pending)
-        for a in range(0, len(every), SLAB):
-            key = ((every[a : a + SLAB, None] ^ masks[None, :]) * U(SPREAD)).ravel()
-            here = np.flatnonzero((key >= U(low)) & (key < U(high))) if high <= M64 else np.flatnonzero(key >= U(low))
-            keys.append(key[here])
-            flips.append((here % len(masks)).astype(np.uint16))
+        own = classes(every, bits)
+        for c in range(1 << bits):
+            number = wanted[c ^ part]
+            key = ((every[own == c][:, None] ^ masks[number][None, :]) * U(SPREAD)).ravel()
+            keys.append(key)
+            flips.append(np.tile(number.astype(np.uint16), len(key) // max(len(number), 1)))
         key, flip = np.concatenate(keys), np.concatenate(flips)
-        bucket = np.minimum((key - U(low)) // width, U(buckets - 1)).astype(np.int32)
+        bucket = np.minimum(key // width, U(buckets - 1)).astype(np.int32)
         order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
         key, flip = key[order], flip[order]
         bounds = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
@@ -157,8 +173,10 @@ def _meet(masks: np.ndarray):
 
 def links(fps: DataFrame, passes: int = 8, bucket_variants: int = 1_500_000) -> DataFrame:
     """a, b: links among the distinct values of fps.fp that join every two within RADIUS bits (not every pair of a
-    crowd: at each meeting place all link to the smallest)."""
-    masks = ball(RADIUS // 2)
+    crowd: at each meeting place all link to the smallest). passes: a power of two, up to 1024."""
+    masks, bits = ball(RADIUS // 2), passes.bit_length() - 1
+    if passes != 1 << bits or bits > len(PARITIES):
+        raise ValueError(f"passes must be a power of two up to {1 << len(PARITIES)}")
     spark = fps.sparkSession
     alone = common.stored(fps.select("fp").distinct(), "fingerprints")
     total = alone.count() * len(masks)
@@ -166,8 +184,7 @@ def links(fps: DataFrame, passes: int = 8, bucket_variants: int = 1_500_000) ->
     buckets = max(1, -(-total // passes // bucket_variants))
     found = []
     for k in range(passes):
-        low, high = (1 << 64) // passes * k, (1 << 64) // passes * (k + 1)
-        spread = alone.repartition(tasks).mapInArrow(_emit(masks, low, high if k < passes - 1 else 1 << 64, buckets), "bucket int, packed binary")
+        spread = alone.repartition(tasks).mapInArrow(_emit(masks, k, bits, buckets), "bucket int, packed binary")
         found.append(common.stored(spread.groupBy("bucket").applyInArrow(_meet(masks), "a long, b long").distinct(), "links"))
         del spread
         common.release(spark)
@@ -210,9 +227,12 @@ def near_duplicates(docs: DataFrame, column: str = "text", **parameters: int) ->
     fingerprints, the document itself included, and ``root``: the smallest fingerprint of the component."""
     marked = common.stored(fingerprints(docs, column, carry=False), "marked")
     roots = common.stored(components(links(marked, **parameters)), "roots")
-    found = marked.join(roots, marked["fp"] == roots["node"], "left").select(*(marked[c] for c in marked.columns if c not in ("component_id", "root")), F.coalesce(roots["root"], "fp").alias("root"))
-    ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(ids, "root")
+    alone = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    linked = common.stored(alone.join(roots, alone["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "linked")
+    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    known = linked.join(ids, "root").select("fp", "root", "component_id")
+    rest = [c for c in marked.columns if c not in ("component_id", "root")]
+    return marked.select(*rest).join(known, "fp")
 
 
 def representatives(docs: DataFrame, column: str = "text", **parameters: int) -> DataFrame:

@@ -94,7 +94,7 @@ def slow_fingerprint(text):
 
 
 def test_simhash(spark, docs):
-    got = simhash.near_duplicates(docs, passes=3, bucket_variants=2000).collect()
+    got = simhash.near_duplicates(docs, passes=4, bucket_variants=2000).collect()
     assert all(r.fp & simhash.M64 == slow_fingerprint(t) for r in got for t in [TEXTS[r.extra][1]])
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 30)
@@ -115,6 +115,14 @@ def test_simhash(spark, docs):
     assert {f: roots.get(f, f) for f in fps} == {f: top(f) for f in fps}
 
 
+def test_classes_of_variants():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 1 << 63, (2, 500)).astype(np.uint64)
+    assert (simhash.classes(a ^ b, 3) == simhash.classes(a, 3) ^ simhash.classes(b, 3)).all()
+    count = np.bincount(simhash.classes(simhash.ball(2), 3), minlength=8)
+    assert count.sum() == 2081 and count.min() > 150
+
+
 def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001)], "a long, b long")
     assert {r.node: r.root for r in simhash.components(edges).collect()} == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
@@ -382,7 +390,7 @@ def test_chat_layouts(spark):
     turns = [("user", "q"), ("assistant", "a")]
     records = [
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 7}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"prompt": "q", "response": "a"}, {"prompt": "q", "completion": "a"},
-        {"instruction": "q", "output": "a"}, {"instruction": "q", "input": "", "output": "a"}, {"question": "q", "answer": "a", "other": {"prompt": 1}}, {"turns": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a"}]}, {"prompt": "q", "chosen": "a"},
+        {"instruction": "q", "output": "a"}, {"instruction": "q", "input": "", "output": "a"}, {"system": "", "instruction": "q", "output": "a"}, {"deep": [[[[[{"prompt": {"x": 1}}]]]]], "prompt": "q", "response": "a"}, {"question": "q", "answer": "a", "other": {"prompt": 1}}, {"turns": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a"}]}, {"prompt": "q", "chosen": "a"},
     ]
     bad = ["not json", "{}", "[]", json.dumps({"messages": 3}), None]
     df = spark.createDataFrame([(n, json.dumps(r)) for n, r in enumerate(records)] + [(100 + n, b) for n, b in enumerate(bad)], "id long, record string")
@@ -390,6 +398,26 @@ def test_chat_layouts(spark):
     for r in chat.turns_of_records(df, "id", "record").orderBy("key", "k").collect():
         got[r.key].append((r.role, r.text))
     assert got == {n: turns for n in range(len(records))}
+    led = spark.createDataFrame([(1, json.dumps({"system": "s", **records[0]})), (2, json.dumps({"system": "s", "prompt": "q", "response": "a"}))], "id long, record string")
+    assert sorted((r.key, r.k, r.role, r.text) for r in chat.turns_of_records(led, "id", "record").collect()) == [(n, k, *t) for n in (1, 2) for k, t in enumerate([("system", "s"), *turns])]
+
+
+def test_chat_tables(spark):
+    """A table's layout is chosen by the fingerprint of its schema; other tables go by that of each row."""
+    rows = [(1, 0, "user", "q", "mine"), (1, 1, "assistant", "a", "yours"), (None, 0, "user", None, "x")]
+    want = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (None, 0, "user", "")]
+    for layout in chat.ROW_LAYOUTS:
+        (role, text), = layout.turns
+        df = spark.createDataFrame(rows, f"conv_id long, {layout.order} long, {role} string, {text} string, formatted string")
+        assert chat.row_layout(df.schema) == layout
+        assert sorted(map(tuple, chat.turns(df, "conv_id").collect()), key=repr) == sorted(want, key=repr)
+        assert chat.turns(df.limit(0), "conv_id").count() == 0
+    nested = spark.createDataFrame([(7, [("user", "q"), ("assistant", "a")])], "id long, messages array<struct<role:string,content:string>>")
+    assert chat.row_layout(nested.schema) is None
+    assert [(r.key, r.role, r.text) for r in chat.turns(nested, "id").orderBy("k").collect()] == [(7, "user", "q"), (7, "assistant", "a")]
+    assert chat.turns(spark.createDataFrame([(1, "x")], "id long, other string"), "id").count() == 0
+    with pytest.raises(ValueError):
+        chat.turns_of_rows(nested, "id")
 
 
 def test_classifiers(spark):
@@ -416,6 +444,13 @@ def test_samples(spark):
     assert len(got) == 20 and got == fitting.sample(df.repartition(5), None, 20, 10_000)
     assert len(fitting.sample(df, df.select("doc_id").where("doc_id < 5"), 20, 10_000)) == 5 and dict(fitting.sample(df, None, 60, 10_000))[3] == "longer text here"
     assert len(fitting.sample(df, None, 20, 45)) == 4
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("xy").alias("text"))
+    first = sorted(range(30_000), key=lambda i: (fitting.crc(f"sample:{i}"), i))[:50]
+    assert [i for i, _ in fitting.sample(many, None, 50, 10_000)] == first
+    hot = many.unionAll(spark.range(30_000).select(F.lit(first[0]).alias("doc_id"), F.lit("x").alias("text")))  # half of all rows share an id
+    assert [i for i, _ in fitting.sample(hot, None, 50, 10_000)] == first
+    big = many.withColumn("text", F.when(F.col("doc_id") == first[0], F.repeat(F.lit("z"), 500)).otherwise(F.col("text")))
+    assert [i for i, _ in fitting.sample(big, None, 50, 400)] == first[1:]  # what does not fit is passed over
     assert fitting.crc(12) == zlib.crc32(b"12") == spark.range(1).select(F.lit(12).alias("doc_id")).select(fitting.id_hash()).head()[0]
 
 

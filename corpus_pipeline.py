@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages over documents, each written as Parquet before the next reads it.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of documents (doc_id, text, lang, source, n_chars); extra columns pass through.
+columns of documents (doc_id, text, lang, source, n_chars); extra columns pass through, whatever their names.
+
+Edge cases, in all stages: an empty table gives an empty result; doc_id, lang and source may be null, and null and empty
+texts have no words. By stage: texts without 20 words go in the first, so null and empty ones do; rows that repeat another
+as a whole go in the second, as do all documents of a component but that of smallest id (a component without ids keeps one
+row of each text that is smallest); equal windows are cut from all but the smallest id, and rows that share id and text are cut
+alike; a document without words is never contaminated; the encoding of a null text is that of the empty text.
 """
 
 from __future__ import annotations
@@ -11,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from retroledger.llm import bpe, common, decontaminate, rules, simhash, substring
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SimHash and decontamination cannot be written in SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
@@ -29,10 +34,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words that repeat an earlier window; documents that lose none keep their text as it is. A document that loses
     all words stays, with an empty text."""
-    cut = substring.deduplicate(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = cut.withColumn("text", text)
-    return changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in substring.ADDED}
+    cut = substring.deduplicate(docs.withColumnsRenamed(own))
+    changed, kept = F.col("n_removed") > 0, F.col("kept_text")
+    new = {"text": F.when(changed, kept).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
+    return cut.select(*(new.get(c, F.col(own.get(c, c))).alias(c) for c in docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

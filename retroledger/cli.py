@@ -130,7 +130,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     elif (a.group, a.verb) == ("action", "show"):
         show(actions.find(store().actions(), a.action), a.format, out)
     else:
-        found = actions.verify(lambda: store().manifest()["markers"], p.instance, plan.read_file(a.plan), a.action, a.wait)
+        found = actions.verify(lambda: store().markers(F.col("action_id") == a.action), p.instance, plan.read_file(a.plan), a.action, a.wait)
         print(found, file=out)
         return {"COMMITTED": 0, "NOT_COMMITTED": 1}.get(found, 2)
     return 0

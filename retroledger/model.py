@@ -57,15 +57,20 @@ def names(row: Column) -> Column:
     return F.transform(row, lambda x: x["column"])
 
 
-def number(value: Column) -> Column:
-    """A decimal value as a number; its data is a JSON string."""
-    return F.replace(value["data"], F.lit('"'), F.lit("")).try_cast("decimal(38,10)")
+def number_text(value: Column) -> Column:
+    """A decimal value as text that is equal for equal numbers of any length: no plus sign, no zeros around. Its data is a
+    JSON string."""
+    text = F.trim(F.replace(value["data"], F.lit('"'), F.lit("")))
+    body = F.regexp_replace(text, r"^[+-]?0*", "")
+    short = F.when(F.contains(body, F.lit(".")), F.regexp_replace(body, r"\.?0*$", "")).otherwise(body)
+    whole = F.when((short == "") | short.startswith("."), F.concat(F.lit("0"), short)).otherwise(short)
+    return F.when(text.startswith("-") & (whole != "0"), F.concat(F.lit("-"), whole)).otherwise(whole)
 
 
 def same_value(a: Column, b: Column) -> Column:
     """Null equals null only; otherwise kinds agree and so do the data, decimals by number rather than by spelling."""
     text = (a["kind"] == b["kind"]) & (a["data"] == b["data"])
-    decimals = (a["kind"] == "decimal") & (b["kind"] == "decimal") & (number(a) == number(b))
+    decimals = (a["kind"] == "decimal") & (b["kind"] == "decimal") & (number_text(a) == number_text(b))
     return F.when(a.isNull() | b.isNull(), F.lit(False)).when(a["is_null"] | b["is_null"], a["is_null"] & b["is_null"]).otherwise(F.coalesce(text | decimals, F.lit(False)))
 
 
@@ -76,5 +81,9 @@ def contains(current: Column, desired: Column) -> Column:
 
 def key_text(row: Column) -> Column:
     """One text for a key row, equal for equal keys; null if any part is null."""
-    part = lambda x: F.concat(x["column"], F.lit("="), x["value"]["kind"], F.lit(":"), F.when(x["value"]["kind"] == "decimal", number(x["value"]).cast("string")).otherwise(x["value"]["data"]))
+
+    def part(x: Column) -> Column:
+        v = x["value"]
+        return F.concat(x["column"], F.lit("="), v["kind"], F.lit(":"), F.when(v["kind"] == "decimal", number_text(v)).otherwise(v["data"]))
+
     return F.when(F.size(row) > 0, F.when(~F.exists(row, lambda x: x["value"]["is_null"]), F.array_join(F.transform(row, part), "\u0001")))

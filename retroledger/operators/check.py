@@ -33,20 +33,30 @@ def _difference() -> Column:
     return F.transform(F.filter("expect", differs), lambda e: F.struct(e["column"].alias("column"), told(e["value"]).alias("expected"), told(get(F.col("current"), e["column"])).alias("actual")))
 
 
-def conflicts(found: DataFrame) -> DataFrame:
-    """The conflicts of matched operations: row_exists, row_missing, row_mismatch (one a column), key_missing,
-    unsupported_op. Unmatched decimals compare by number."""
+def listed() -> Column:
+    """The conflicts of a matched operation as an array; null or empty if there is none."""
     none = F.lit(None).cast("string")
-    one = lambda kind, text: F.array(F.struct(F.lit(kind).alias("kind"), none.alias("column"), none.alias("expected"), none.alias("actual"), F.lit(text).alias("message")))
-    each = F.transform(_difference(), lambda d: F.struct(F.lit("row_mismatch").alias("kind"), d["column"].alias("column"), d["expected"].alias("expected"), d["actual"].alias("actual"), F.lit("the row holds another value").alias("message")))
-    listed = (
-        F.when(~F.col("kind").isin("insert", "update", "delete"), one("unsupported_op", "unknown operation"))
+
+    def one(kind: str, text: str) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), none.alias("column"), none.alias("expected"), none.alias("actual"), F.lit(text).alias("message")))
+
+    def mismatch(d: Column) -> Column:
+        return F.struct(F.lit("row_mismatch").alias("kind"), d["column"].alias("column"), d["expected"].alias("expected"), d["actual"].alias("actual"), F.lit("the row holds another value").alias("message"))
+
+    return (
+        F.when(~F.coalesce(F.col("kind").isin("insert", "update", "delete"), F.lit(False)), one("unsupported_op", "unknown operation"))
         .when(key_text(F.col("key")).isNull(), one("key_missing", "no key addresses the row"))
         .when((F.col("kind") == "insert") & F.col("current").isNotNull(), one("row_exists", "a row with this key is there"))
         .when((F.col("kind") != "insert") & F.col("current").isNull(), one("row_missing", "no row with this key is there"))
-        .when(F.col("kind") != "insert", each)
+        .when(F.col("kind") != "insert", F.transform(_difference(), mismatch))
     )
-    return found.select("txn_id", "sequence", table_name("table").alias("table"), F.explode(listed).alias("c")).select("txn_id", "sequence", "table", "c.*").select(*(x.split()[0] for x in CONFLICT.split(", ")))
+
+
+def conflicts(found: DataFrame) -> DataFrame:
+    """The conflicts of matched operations: row_exists, row_missing, row_mismatch (one a column), key_missing,
+    unsupported_op. Decimals compare by number, however long."""
+    each = found.select("txn_id", "sequence", table_name("table").alias("table"), F.explode(listed()).alias("c"))
+    return each.select("txn_id", "sequence", "table", "c.*").select(*(x.split()[0] for x in CONFLICT.split(", ")))
 
 
 def schema_checks(planned: DataFrame, current: DataFrame) -> DataFrame:

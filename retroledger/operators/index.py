@@ -34,9 +34,10 @@ def entries(changes: DataFrame) -> DataFrame:
 
 def deduplicated(found: DataFrame) -> DataFrame:
     """The first entry of each id, by file and position; entries without an id all stay."""
-    order = Window.partitionBy("txn_id").orderBy("source_file", "start_pos")
-    named = found.where(F.coalesce("txn_id", F.lit("")) != "").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return named.unionByName(found.where(F.coalesce("txn_id", F.lit("")) == ""))
+    named = F.nullif("txn_id", F.lit(""))
+    place = F.when(named.isNull(), F.struct("source_file", "start_pos", F.monotonically_increasing_id()))
+    whole = F.struct("source_file", "start_pos", *(c for c in found.columns if c not in ("source_file", "start_pos")))
+    return found.groupBy(named.alias("_id"), place.alias("_place")).agg(F.min(whole).alias("e")).select(*(F.col(f"e.{c}").alias(c) for c in found.columns))
 
 
 def counters(found: DataFrame) -> DataFrame:

@@ -50,8 +50,10 @@ def decode_events(events: DataFrame, columns: DataFrame, metadata: str = METADAT
 
     events: source_file, pos, event_type, event_time, sid, gno, table_id, schema, table, columns (names), rows (arrays of text
     cells; an update has before and after in turn) and sql. Row events find their table by table_id, so statements over
-    several tables are read right. columns: the catalog. A table whose column names differ from the catalog's makes its
-    transaction not executable, and so does an unknown event that carries rows."""
+    several tables are read right. columns: the catalog. What cannot be read whole makes its transaction not executable and
+    gives no changes: a table whose column names differ from the catalog's, a row with more or fewer cells than columns, an
+    update with an image too few, an event without rows or whose table is not known, and an unknown event that carries
+    rows."""
     order = Window.partitionBy("source_file").orderBy("pos")
     gtid = F.when(F.col("event_type") == "GTID", txn_id_of(F.col("sid"), F.col("gno")))
     of_table = Window.partitionBy("source_file", "table_id").orderBy("pos")
@@ -65,15 +67,21 @@ def decode_events(events: DataFrame, columns: DataFrame, metadata: str = METADAT
     image = lambda cells: F.transform(F.arrays_zip(F.col("_cols").alias("c"), cells.alias("v")), lambda z: F.struct(z["c"]["name"].alias("column"), values.value(z["c"]["native"], z["v"]).alias("value")))
     pair = F.when(F.col("op") == "update", F.transform(F.sequence(F.lit(0), F.floor(F.size("rows") / 2).cast("int") - 1), lambda i: F.struct(F.get("rows", 2 * i).alias("b"), F.get("rows", 2 * i + 1).alias("a"))))
     single = F.transform("rows", lambda r: F.struct(F.when(F.col("op") == "delete", r).alias("b"), F.when(F.col("op") == "insert", r).alias("a")))
-    good = rows.where(ours & F.coalesce(fits, F.lit(False)) & F.col("op").isNotNull() & (F.size("rows") > 0))
-    each = good.select("source_file", "pos", "txn_id", "event_time", "_t", "_cols", "op", F.posexplode(F.coalesce(pair, single)).alias("_i", "_p"))
-    number = F.row_number().over(Window.partitionBy("txn_id").orderBy("source_file", "pos", "_i")).cast("long")
-    ends = seen.where(F.col("event_type") == "XID").groupBy("txn_id").agg(F.max("event_time").alias("_end"))
-    changes = each.join(ends, "txn_id", "left").select("source_file", "pos", "txn_id", F.coalesce("_end", "event_time").alias("commit_time"), number.alias("sequence"), F.col("_t").alias("table"), "op", F.when(F.col("_p.b").isNotNull(), image(F.col("_p.b"))).alias("before"), F.when(F.col("_p.a").isNotNull(), image(F.col("_p.a"))).alias("after"))
+    broad = F.exists("rows", lambda r: F.coalesce(F.size(r), F.lit(-1)) != F.size("_cols"))
+    odd = (F.col("op") == "update") & (F.size("rows") % 2 != 0)
     reason = (
         F.when(F.col("op").isNull(), F.concat(F.lit("unknown row event "), "event_type"))
+        .when(F.col("_map").isNull(), F.concat(F.lit("rows of an unknown table, id "), F.coalesce(F.col("table_id").cast("string"), F.lit("null"))))
         .when(ours & ~F.coalesce(fits, F.lit(False)), F.concat(F.lit("columns of "), table_name("_t"), F.lit(" differ from the catalog")))
+        .when(ours & (F.coalesce(F.size("rows"), F.lit(0)) <= 0), F.concat(F.lit("an event of "), table_name("_t"), F.lit(" holds no rows")))
+        .when(ours & broad, F.concat(F.lit("a row of "), table_name("_t"), F.lit(" has not as many values as columns")))
+        .when(ours & odd, F.concat(F.lit("an update of "), table_name("_t"), F.lit(" lacks an image")))
     )
+    good = rows.withColumn("_reason", reason).where(F.col("_reason").isNull() & ours)
+    each = good.select("source_file", "pos", "txn_id", "event_time", "_t", "_cols", "op", F.posexplode(F.coalesce(pair, single)).alias("_i", "_p"))
+    number = F.row_number().over(Window.partitionBy("txn_id").orderBy("source_file", "pos", "_i")).cast("long")
+    ends = seen.where(F.col("event_type") == "XID").groupBy("txn_id").agg(F.max("event_time").alias("_end"))
+    changes = each.join(ends, "txn_id", "left").select("source_file", "pos", "txn_id", F.coalesce("_end", "event_time").alias("commit_time"), number.alias("sequence"), F.col("_t").alias("table"), "op", F.when(F.col("_p.b").isNotNull(), image(F.col("_p.b"))).alias("before"), F.when(F.col("_p.a").isNotNull(), image(F.col("_p.a"))).alias("after"))
     ids = F.flatten(F.collect_set(F.when(marker & (F.col("op") == "insert"), F.filter(F.transform("rows", lambda r: F.get(r, 0)), lambda x: F.octet_length(x) == 16))))
     of_rows = rows.groupBy("txn_id").agg(F.collect_set(reason).alias("reasons"), ids.alias("marker_ids"))
     ddl = seen.where((F.col("event_type") == "QUERY") & (statement_class(F.col("sql")) == "ddl")).groupBy("txn_id").agg(F.min_by(F.concat(F.lit("statement: "), first_line(F.col("sql"))), "pos").alias("ddl"))

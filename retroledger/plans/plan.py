@@ -129,10 +129,20 @@ def build(summary_row: dict, ops: DataFrame, fingerprints: dict[str, str], mode:
     """The plan of an executable transaction; refuses others with their reasons."""
     if not summary_row["executable"]:
         raise Refused("; ".join(summary_row["reasons"]))
-    bad = [r["reason"] for r in faults(ops).limit(20).collect()]
+    listed = collected(ops, max_rows)
+    bad = {told for o in listed if (told := _fault(o))}
     if bad:
         raise Refused("; ".join(sorted(bad)))
-    return Plan(plan_id, mode, summary_row["txn_id"], instance, created_at, tool_version, collected(ops, max_rows), fingerprints).sealed()
+    return Plan(plan_id, mode, summary_row["txn_id"], instance, created_at, tool_version, listed, fingerprints).sealed()
+
+
+def _fault(o: dict) -> str | None:
+    """faults() of one operation at hand."""
+    if o["kind"] not in ("insert", "update", "delete"):
+        return "unknown operation"
+    if not o["key"] or any(c["value"]["is_null"] for c in o["key"]):
+        return f"no usable unique key: {o['table']['schema']}.{o['table']['name']}"
+    return None
 
 
 def next_in_chain(spark: SparkSession, root: Plan, mode: str, parent_action: str, parent_depth: int, plan_id: str, created_at: str) -> Plan:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -119,10 +119,9 @@ def log_cursor(spark, sf_dir):
 
 @query("SELECT txn_id, row_count, row_count <= 10 AS executable, CASE WHEN row_count > 10 THEN 'too many rows: ' || row_count || ' > 10' ELSE '' END AS reasons, CASE WHEN row_count > 10 THEN 0 ELSE row_count END AS images FROM txn", ORDER_LOG)
 def oversize_guard(spark, sf_dir):
-    log = derived.order_log(spark, sf_dir)
-    s = transactions.summary(log, max_rows=10)
-    kept = transactions.images(log, s).groupBy("txn_id").agg(F.count(F.lit(1)).alias("images"))
-    return s.join(kept, "txn_id", "left").select("txn_id", "row_count", "executable", F.array_join("reasons", "; ").alias("reasons"), F.coalesce("images", F.lit(0)).alias("images"))
+    s = transactions.summary(derived.order_log(spark, sf_dir), max_rows=10)
+    images = F.when(F.col("executable"), F.col("row_count")).otherwise(0).alias("images")
+    return s.select("txn_id", "row_count", "executable", F.array_join("reasons", "; ").alias("reasons"), images)
 
 
 @query("SELECT txn_id, k % 97 <> 0 AS executable, CASE WHEN k % 97 = 0 THEN 'statement: ALTER TABLE orders' ELSE '' END AS reasons FROM txn", ORDER_LOG)
@@ -403,8 +402,16 @@ def revert_reapply_roundtrip(spark, sf_dir):
 
 
 def _own_folder(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.environ.get('TMPDIR', '/tmp')}/retroledger"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one of the session; a local one only where all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        root = f"file://{tempfile.gettempdir()}/retroledger"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 @query("SELECT * FROM (VALUES (1, 'applied', 1), (2, 'ReplayBlocked', 0), (3, 'applied', 1)) v(step, outcome, affected)")

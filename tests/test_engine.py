@@ -122,7 +122,7 @@ def test_store_and_chain(spark, tmp_path):
     third = plan.next_in_chain(spark, root, "revert", act(1), 1, canonical.ulid(3, bytes(10)), "now")
     go(third, 2)
     assert actions.chain(store.actions()).head().asDict() == {"root_plan_digest": root.digest, "length": 3, "fault": None}
-    markers = store.manifest()["markers"]
+    markers = store.markers()
     assert actions.verify(lambda: markers, "srv", third, act(2)) == "COMMITTED"
     assert actions.verify(lambda: markers, "srv", root, act(2)) == "INDETERMINATE"
     waits = []
@@ -130,7 +130,7 @@ def test_store_and_chain(spark, tmp_path):
     assert actions.parent_fault(root, markers[2], markers[2], "reapply") is None
     assert actions.parent_fault(root, markers[0], markers[2], "reapply") == "a later action stands"
     with pytest.raises(apply.ApplyError):  # two writers from one version: the second finds its number taken
-        store.publish({"version": len(store.versions()) - 1}, {"tables": {}, "markers": []})
+        store.publish({"version": len(store.versions()) - 1}, {})
 
 
 def test_conflict_changes_nothing(spark, tmp_path):
@@ -140,7 +140,7 @@ def test_conflict_changes_nothing(spark, tmp_path):
     p = reverted(spark, log, 1)
     with pytest.raises(apply.ApplyError, match="CONFLICT"):
         store.apply(p, apply.Options(canonical.ulid(5, bytes(10)), "op", "1", p.digest), "now", "srv")
-    assert store.state().count() == 2 and store.versions() == [1] and not store.manifest()["markers"]
+    assert store.state().count() == 2 and store.versions() == [1] and not store.markers()
     assert [r.kind for r in check.conflicts(check.matched(p.frame(spark), store.state())).collect()] == ["row_mismatch"]
 
 

@@ -159,6 +159,14 @@ def row(columns: dict[str, tuple[str, Column]]) -> Column:
     return F.array(*(F.struct(F.lit(name).alias("column"), value(native, raw).alias("value")) for name, (native, raw) in columns.items()))
 
 
+def decode_row(columns: Column, cells: Column) -> Column:
+    """A row from its columns (array of name and native) and as many text cells; another number of cells raises."""
+    pairs = F.arrays_zip(columns.alias("c"), cells.alias("v"))
+    made = F.transform(pairs, lambda z: F.struct(z["c"]["name"].alias("column"), value(z["c"]["native"], z["v"]).alias("value")))
+    told = F.concat(F.size(cells).cast("string"), F.lit(" values for "), F.size(columns).cast("string"), F.lit(" columns"))
+    return F.when(cells.isNull(), F.lit(None)).when(F.size(cells) == F.size(columns), made).otherwise(fail("row cannot be decoded", told))
+
+
 def valid(v: Column) -> Column:
     """A value that is not null has a known kind and valid JSON as its data."""
     return v["is_null"] | ((v["kind"] != "unknown") & v["data"].isNotNull() & (F.length(v["data"]) > 0) & F.try_parse_json(v["data"]).isNotNull())
@@ -169,19 +177,41 @@ def plain(v: Column) -> Column:
     return F.when(v["is_null"], F.lit(None).cast("string")).when(v["kind"] == "integer", v["data"]).otherwise(unquoted(v["data"]))
 
 
-def bit_bytes(number: Column, width: int) -> Column:
+def bit_bytes(number: Column, width: Column | int) -> Column:
     """A number as the big-endian bytes of a bit column; null if it does not fit."""
-    digits = F.conv(number, 10, 16)
-    size = 2 * -(-width // 8)
-    return F.when(F.length(F.conv(number, 10, 2)) <= width, F.unhex(F.lpad(digits, size, "0")))
+    wide = F.lit(width) if isinstance(width, int) else width
+    size = (2 * F.ceil(wide / 8)).cast("int")
+    return F.when(F.length(F.conv(number, 10, 2)) <= wide, F.unhex(F.lpad(F.conv(number, 10, 16), size, F.lit("0"))))
+
+
+def raw_bytes(v: Column) -> Column:
+    """The bytes of a binary or bit value: the inverse of value() where plain() is not. A bit value that does not fit the
+    width of its native type raises; other kinds give null."""
+    text = unquoted(v["data"])
+    width = F.coalesce(F.nullif(F.regexp_extract(v["native"], r"\((\d+)\)", 1), F.lit("")).cast("int"), F.lit(1))
+    bits = F.coalesce(bit_bytes(text, width), fail("bit value does not fit", F.concat_ws(" ", v["native"], text)))
+    return F.when(v["is_null"], F.lit(None).cast("binary")).when(v["kind"] == "binary", F.unbase64(text)).when(v["kind"] == "bit", bits)
+
+
+def comparable(native: str, column: Column) -> Column:
+    """What a column of a native type is compared by: JSON by its canonical text, all else as it is."""
+    return json_text(column) if native.strip().lower().startswith("json") else column
+
+
+def from_micros(micros: Column) -> Column:
+    """Microseconds since 1970 as a time (UTC, without a zone)."""
+    seconds = (micros.cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def identifier(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def predicate(rows: list[dict[str, Column]]) -> Column:
-    """All columns equal, nulls to nulls; of a column that stands in several rows the first counts."""
+def predicate(rows: list[dict[str, Column]], natives: dict[str, str] | None = None) -> Column:
+    """All columns equal, nulls to nulls; of a column that stands in several rows the first counts. natives: native types of
+    columns; JSON is compared by its canonical text."""
+    natives = natives or {}
     wanted: dict[str, Column] = {}
     for r in rows:
         for name, v in r.items():
@@ -190,6 +220,7 @@ def predicate(rows: list[dict[str, Column]]) -> Column:
         raise ValueError("a predicate needs a column")
     out = None
     for name, v in wanted.items():
-        term = F.col(identifier(name)).eqNullSafe(v)
+        native = natives.get(name, "")
+        term = comparable(native, F.col(identifier(name))).eqNullSafe(comparable(native, v))
         out = term if out is None else out & term
     return out

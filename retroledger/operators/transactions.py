@@ -64,7 +64,6 @@ def decode_events(events: DataFrame, columns: DataFrame, metadata: str = METADAT
     fits = F.col("_map.columns") == F.transform("_cols", lambda c: c["name"])
     marker = (F.col("_t.schema") == metadata) & (F.col("_t.name") == MARKER_TABLE)
     ours = ~is_system(F.col("_t.schema"), metadata)
-    image = lambda cells: F.transform(F.arrays_zip(F.col("_cols").alias("c"), cells.alias("v")), lambda z: F.struct(z["c"]["name"].alias("column"), values.value(z["c"]["native"], z["v"]).alias("value")))
     pair = F.when(F.col("op") == "update", F.transform(F.sequence(F.lit(0), F.floor(F.size("rows") / 2).cast("int") - 1), lambda i: F.struct(F.get("rows", 2 * i).alias("b"), F.get("rows", 2 * i + 1).alias("a"))))
     single = F.transform("rows", lambda r: F.struct(F.when(F.col("op") == "delete", r).alias("b"), F.when(F.col("op") == "insert", r).alias("a")))
     broad = F.exists("rows", lambda r: F.coalesce(F.size(r), F.lit(-1)) != F.size("_cols"))
@@ -81,7 +80,7 @@ def decode_events(events: DataFrame, columns: DataFrame, metadata: str = METADAT
     each = good.select("source_file", "pos", "txn_id", "event_time", "_t", "_cols", "op", F.posexplode(F.coalesce(pair, single)).alias("_i", "_p"))
     number = F.row_number().over(Window.partitionBy("txn_id").orderBy("source_file", "pos", "_i")).cast("long")
     ends = seen.where(F.col("event_type") == "XID").groupBy("txn_id").agg(F.max("event_time").alias("_end"))
-    changes = each.join(ends, "txn_id", "left").select("source_file", "pos", "txn_id", F.coalesce("_end", "event_time").alias("commit_time"), number.alias("sequence"), F.col("_t").alias("table"), "op", F.when(F.col("_p.b").isNotNull(), image(F.col("_p.b"))).alias("before"), F.when(F.col("_p.a").isNotNull(), image(F.col("_p.a"))).alias("after"))
+    changes = each.join(ends, "txn_id", "left").select("source_file", "pos", "txn_id", F.coalesce("_end", "event_time").alias("commit_time"), number.alias("sequence"), F.col("_t").alias("table"), "op", values.decode_row(F.col("_cols"), F.col("_p.b")).alias("before"), values.decode_row(F.col("_cols"), F.col("_p.a")).alias("after"))
     ids = F.flatten(F.collect_set(F.when(marker & (F.col("op") == "insert"), F.filter(F.transform("rows", lambda r: F.get(r, 0)), lambda x: F.octet_length(x) == 16))))
     of_rows = rows.groupBy("txn_id").agg(F.collect_set(reason).alias("reasons"), ids.alias("marker_ids"))
     ddl = seen.where((F.col("event_type") == "QUERY") & (statement_class(F.col("sql")) == "ddl")).groupBy("txn_id").agg(F.min_by(F.concat(F.lit("statement: "), first_line(F.col("sql"))), "pos").alias("ddl"))
@@ -91,6 +90,11 @@ def decode_events(events: DataFrame, columns: DataFrame, metadata: str = METADAT
     return changes.select(*CHANGE.fieldNames()), notes
 
 
+def rows_of(count: Column, rows: Column) -> Column:
+    """The number of rows of a transaction: as counted, else as many as are at hand."""
+    return F.coalesce(F.nullif(count, F.lit(0)), F.nullif(F.size(rows).cast("long"), F.lit(-1)), F.lit(0)).cast("long")
+
+
 def change_bytes() -> Column:
     """The size of a change as JSON; nulls are written."""
     return F.octet_length(F.to_json(F.struct("sequence", "table", "op", "before", "after"), {"ignoreNullFields": "false"})).cast("long")

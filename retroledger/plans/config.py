@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass, field, fields
+import random
+from dataclasses import asdict, dataclass, field, fields, replace
 
 VERSION = 1
 
@@ -32,6 +33,9 @@ class Profile:
     log: str
     target: str
     instance: str = ""
+    catalog: str = ""
+    server_id: int = 0
+    lacks: list[str] = field(default_factory=list)
     policy: Policy = field(default_factory=Policy)
 
 
@@ -63,6 +67,28 @@ def save(path: str, profiles: dict[str, Profile]) -> None:
         f.write(text + "\n")
 
 
+def grants(user: str, schemas: list[str], metadata: str = "retro_meta") -> list[str]:
+    """Statements that give an account what reading the log and applying plans need."""
+    quoted = "'" + user.replace("'", "''") + "'"
+    log = [f"GRANT REPLICATION SLAVE, REPLICATION CLIENT ON *.* TO {quoted};"]
+    return log + [f"GRANT SELECT, INSERT, UPDATE, DELETE ON `{s.replace('`', '``')}`.* TO {quoted};" for s in [*schemas, metadata]]
+
+
+def new_server_id(rng: random.Random | None = None) -> int:
+    """A random replica number, above those that people give by hand."""
+    return (rng or random.SystemRandom()).randrange(10_000, 1 << 32)
+
+
+def init(path: str, name: str, new: Profile) -> Profile:
+    """Adds a profile to a configuration file, which is made if need be; a profile that is there is never replaced."""
+    known = load(path) if os.path.exists(path) else {}
+    if name in known:
+        raise FileExistsError(f"profile {name}")
+    made = new if new.server_id else replace(new, server_id=new_server_id())
+    save(path, known | {name: made})
+    return made
+
+
 def profile(profiles: dict[str, Profile], name: str | None) -> Profile:
     """The named profile; without a name the only one."""
     if name is None and len(profiles) == 1:

@@ -76,6 +76,15 @@ def tables_of(ops: DataFrame, keys: DataFrame, fingerprints: DataFrame) -> DataF
     return ops.select("table").distinct().join(fingerprints, "table", "left").join(keys.groupBy("table").agg(F.min_by("columns", F.struct(~F.col("is_primary"), "key")).alias("key_columns")), "table", "left")
 
 
+def fingerprints_of(ops: DataFrame, keys: DataFrame, fingerprints: DataFrame) -> dict[str, str]:
+    """The fingerprint of every table that one plan's operations touch; a table without one is refused."""
+    found = {f"{r['table']['schema']}.{r['table']['name']}": r["fingerprint"] for r in tables_of(ops, keys, fingerprints).collect()}
+    unread = sorted(t for t, f in found.items() if f is None)
+    if unread:
+        raise Refused("no schema of " + ", ".join(unread))
+    return found
+
+
 def faults(ops: DataFrame) -> DataFrame:
     """txn_id and reason of operations that cannot be planned."""
     reason = F.when(~F.col("kind").isin("insert", "update", "delete"), "unknown operation").when(key_text(F.col("key")).isNull(), F.concat(F.lit("no usable unique key: "), table_name("table")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import doctor, literals
 from .functions import redact, values
 from .literals import sql_values
-from .model import contains, get, table_name
+from .model import CHANGE, ROW, contains, get, same_value, table_name
 from .operators import actions, apply, check, index, resolve, transactions
 from .plans import plan
 from .sources import catalog, derived
@@ -145,18 +145,48 @@ def system_table_filter(spark, sf_dir):
     return spark.createDataFrame([(s,) for s in SCHEMAS], "s string").where(~transactions.is_system(F.col("s")))
 
 
-@query("SELECT txn_id, 'a0' || lpad(lower(to_hex(k)), 30, '0') AS action_id FROM txn WHERE k % 50 = 0", ORDER_LOG)
+MARKED = ((1, "a0" * 16), (2, "a0"), (3, "0123456789abcdef" * 2), (4, "ff" * 17), (5, ""))
+
+
+@query(f" SELECT 'srv:' || n AS txn_id, id AS action_id FROM {sql_values(MARKED, 'n, id')} WHERE length(id) = 32", "")
 def marker_capture(spark, sf_dir):
-    log = derived.order_log(spark, sf_dir).where("sequence = 1")
-    key = F.substring_index("txn_id", ":", -1).cast("long")
-    raw = F.unhex(F.concat(F.lit("a0"), F.lpad(F.lower(F.hex(key)), 30, "0")))
-    short = F.when(key % 50 == 1, F.unhex(F.lit("a0"))).otherwise(raw)  # ids of other lengths do not count
-    v = F.struct(F.lit("binary").alias("kind"), F.lit(False).alias("is_null"), F.lit("base64").alias("encoding"), values.quoted(F.base64(short)).alias("data"), F.lit("binary(16)").alias("native"))
+    """Markers among the whole log; ids of other lengths than 16 bytes do not count."""
+    log = derived.order_log(spark, sf_dir)
+    v = F.struct(F.lit("binary").alias("kind"), F.lit(False).alias("is_null"), F.lit("base64").alias("encoding"), values.quoted(F.base64(F.unhex("id"))).alias("data"), F.lit("binary(16)").alias("native"))
     table = F.struct(F.lit("retro_meta").alias("schema"), F.lit("action_markers").alias("name"))
-    marks = log.where(key % 50 < 2).withColumn("table", table).withColumn("op", F.lit("insert")).withColumn("after", F.array(F.struct(F.lit("action_id").alias("column"), v.alias("value"))))
+    after = F.array(F.struct(F.lit("action_id").alias("column"), v.alias("value")))
+    given = {"source_file": F.lit("m"), "pos": F.col("n").cast("long"), "txn_id": F.concat(F.lit("srv:"), F.col("n").cast("string")), "sequence": F.lit(0).cast("long"), "table": table, "op": F.lit("insert"), "after": after}
+    marks = spark.createDataFrame(list(MARKED), "n int, id string").select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CHANGE))
     return transactions.marker_ids(log.unionByName(marks))
 
 
+_SID = "-".join((derived.SID.hex()[:8], derived.SID.hex()[8:12], derived.SID.hex()[12:16], derived.SID.hex()[16:20], derived.SID.hex()[20:]))
+
+
+def _decoded(spark, sf_dir):
+    return transactions.decode_events(derived.raw_events(spark, sf_dir), literals.columns(spark).where("table.name = 'state'"))
+
+
+@query(f"""SELECT '{_SID}:' || event_id AS txn_id, CAST(1 AS BIGINT) AS sequence, op, user_id, CASE WHEN op <> 'insert' THEN pt END AS before_type, CASE WHEN op <> 'insert' THEN pv END AS before_value,
+  CASE WHEN op <> 'delete' THEN et END AS after_type, CASE WHEN op <> 'delete' THEN v END AS after_value FROM ev WHERE user_id % 11 NOT IN (1, 3, 4, 5, 6) AND NOT (user_id % 11 = 2 AND op = 'update')""", EVENT_LOG)
+def raw_decode_changes(spark, sf_dir):
+    """Raw row events to changes; events that cannot be read whole give none."""
+    made = _decoded(spark, sf_dir)[0]
+    user = F.coalesce(values.plain(get(F.col("after"), "user_id")), values.plain(get(F.col("before"), "user_id"))).cast("long").alias("user_id")
+    shown = [(f"{side}_{n}", side, c, k) for side in ("before", "after") for n, c, k in (("type", "event_type", "string"), ("value", "value", "decimal(18,2)"))]
+    return made.select("txn_id", "sequence", "op", user, *(_plain(side, c, k).alias(name) for name, side, c, k in shown))
+
+
+@query(f"""SELECT '{_SID}:' || event_id AS txn_id, why = '' AS executable, why AS reasons, CASE WHEN why = '' THEN 1 ELSE 0 END AS row_count FROM (SELECT *, CASE
+  WHEN user_id % 11 = 1 THEN 'a row of shop.state has not as many values as columns' WHEN user_id % 11 = 2 AND op = 'update' THEN 'an update of shop.state lacks an image'
+  WHEN user_id % 11 = 3 THEN 'columns of shop.state differ from the catalog' WHEN user_id % 11 = 4 THEN 'unknown row event PARTIAL_UPDATE_ROWS'
+  WHEN user_id % 11 = 5 THEN 'statement: TRUNCATE state' WHEN user_id % 11 = 6 THEN 'rows of an unknown table, id ' || (event_id * 100 + 7) ELSE '' END AS why FROM ev)""", EVENT_LOG)
+def raw_transaction_faults(spark, sf_dir):
+    """Which raw transactions can be reverted, and why the others cannot."""
+    s = transactions.summary(*_decoded(spark, sf_dir), max_bytes=None)
+    return s.select("txn_id", "executable", F.array_join("reasons", "; ").alias("reasons"), "row_count")
+
+
 # ---- index ----------------------------------------------------------------------------------------------------
 
 INDEX = ORDER_LOG + """,
@@ -346,6 +376,60 @@ def check_repeated_keys(spark, sf_dir):
     return check.repeated_keys(plan.operations(derived.event_log(spark, sf_dir, "day"), literals.keys(spark)))
 
 
+def _many(spark, sf_dir):
+    """The last changes of users as transactions of many operations each."""
+    user = F.coalesce(values.plain(get(F.col("after"), "user_id")), values.plain(get(F.col("before"), "user_id"))).cast("long")
+    rows = _last_changes(spark, sf_dir).withColumn("sequence", user).withColumn("txn_id", F.concat(F.lit("grp:"), (user % 20).cast("string")))
+    return plan.operations(rows, literals.keys(spark))
+
+
+@query("SELECT 'grp:' || (user_id % 20) AS txn_id, count(conflict) AS n_conflicts, CASE WHEN count(conflict) > 0 THEN 'CONFLICT' ELSE 'READY' END AS status FROM bad GROUP BY 1", EVENT_LOG)
+def check_many_operations(spark, sf_dir):
+    ops = _many(spark, sf_dir)
+    return check.status(check.conflicts(check.matched(ops, _drifted(spark, sf_dir))), ops)
+
+
+ODD = ((1, "merge", "7"), (2, "delete", None), (3, "delete", "9"), (4, None, "9"), (5, "insert", "9"))
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS sequence, CASE WHEN op IS NULL OR op NOT IN ('insert', 'update', 'delete') THEN 'unsupported_op' WHEN k IS NULL THEN 'key_missing' ELSE 'row_missing' END AS kind FROM {sql_values(ODD, 'n, op, k')} WHERE op IS DISTINCT FROM 'insert'")
+def check_odd_operations(spark, sf_dir):
+    """Unknown operations and rows without a key, against a table that holds nothing."""
+    row = values.row({"user_id": ("bigint", F.col("k"))})
+    table = F.struct(F.lit("shop").alias("schema"), F.lit("state").alias("name")).alias("table")
+    ops = spark.createDataFrame(list(ODD), "n long, op string, k string").select(F.lit("t").alias("txn_id"), F.col("n").alias("sequence"), table, F.col("op").alias("kind"), row.alias("key"), row.alias("expect"), row.alias("write"))
+    return check.conflicts(check.matched(ops, spark.createDataFrame([], apply.check_schema()))).select("sequence", "kind").distinct()
+
+
+@query("SELECT t AS tbl, CASE WHEN t = 'legacy' THEN NULL ELSE t <> 'loose' END AS matches FROM " + sql_values(literals.TABLES, "t"))
+def check_unreadable_fingerprint(spark, sf_dir):
+    """Planned fingerprints against a catalog that has lost one table and changed another."""
+    cols, keys, tables = literals.columns(spark), literals.keys(spark), literals.tables(spark)
+    now = catalog.fingerprints(tables.where("table.name <> 'legacy'"), cols.withColumn("nullable", F.when(F.col("table.name") == "loose", F.lit(False)).otherwise(F.col("nullable"))), keys)
+    return check.schema_checks(catalog.fingerprints(tables, cols, keys), now).select(F.col("table.name").alias("tbl"), "matches")
+
+
+NUMBERS = (("1.000000000001", "1.000000000002"), ("1.50", "1.5"), ("+007", "7"), ("-0.0", "0"), ("123456789012345678901234567890", "123456789012345678901234567891"), ("-12.340", "-12.34"), (".5", "0.50"), ("3.", "3"))
+
+
+@query(f"SELECT a, b, CAST(a AS DECIMAL(38,8)) = CAST(b AS DECIMAL(38,8)) AND CAST(ltrim(split_part(a || '.', '.', 2) || '000000000000', '') AS VARCHAR)[1:12] = CAST(split_part(b || '.', '.', 2) || '000000000000' AS VARCHAR)[1:12] AS same FROM {sql_values(NUMBERS, 'a, b')}")
+def check_decimal_scale(spark, sf_dir):
+    """Decimals of any length and spelling, by number."""
+    v = lambda c: values.value("decimal(65,30)", F.col(c))
+    return spark.createDataFrame(list(NUMBERS), "a string, b string").select("a", "b", same_value(v("a"), v("b")).alias("same"))
+
+
+@query(f"SELECT n.a AS expected, count(*) AS rows FROM {sql_values(NUMBERS, 'a, b')} n, {sql_values(NUMBERS, 'a, b')} m WHERE CAST(n.a AS DECIMAL(38,7)) = CAST(m.a AS DECIMAL(38,7)) GROUP BY n.a")
+def key_long_decimal(spark, sf_dir):
+    """Rows found under decimal keys, some longer than any fixed-point type holds with a scale."""
+    table = F.struct(F.lit("shop").alias("schema"), F.lit("wide").alias("name")).alias("table")
+    row = values.row({"id": ("decimal(65,30)", F.col("a"))}).alias("row")
+    state = spark.createDataFrame(list(NUMBERS), "a string, b string").select(table, row)
+    ops = spark.createDataFrame(list(NUMBERS), "a string, b string").select(F.col("a").alias("txn_id"), F.lit(1).cast("long").alias("sequence"), table, F.lit("delete").alias("kind"), row.alias("key"), row.alias("expect"), F.lit(None).cast(ROW).alias("write"))
+    found = check.matched(ops, state).where("current is not null")
+    return found.groupBy(F.col("txn_id").alias("expected")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 # ---- resolve --------------------------------------------------------------------------------------------------
 
 def _resolved(spark, sf_dir, verb: str):
@@ -389,6 +473,36 @@ def apply_verdict(spark, sf_dir):
     return apply.verdict(_revert(spark, sf_dir), _drifted(spark, sf_dir))
 
 
+@query("""SELECT 'grp:' || (user_id % 20) AS txn_id, CASE WHEN count(*) FILTER (wrong) > 0 THEN 'CONFLICT' ELSE 'READY' END AS status, CASE WHEN count(*) FILTER (wrong) > 0 THEN 0 ELSE count(*) END AS affected
+  FROM (SELECT *, conflict IS NOT NULL OR (kind = 'update' AND et = pt AND v = pv) AS wrong FROM bad) GROUP BY 1""", EVENT_LOG)
+def apply_many_operations(spark, sf_dir):
+    return apply.verdict(_many(spark, sf_dir), _drifted(spark, sf_dir))
+
+
+@query("SELECT 'grp:' || (user_id % 20) AS txn_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY user_id DESC) AS sequence, user_id, kind FROM bad WHERE conflict IS NULL", EVENT_LOG)
+def resolve_skip_many(spark, sf_dir):
+    """Transactions of many operations with those in conflict skipped; the others are numbered anew."""
+    found = check.matched(_many(spark, sf_dir), _drifted(spark, sf_dir))
+    kinds = resolve.grouped(check.conflicts(found))
+    left = resolve.surviving(resolve.resolved(found, kinds, kinds.select("txn_id", "sequence", F.lit("skip").alias("verb"))))
+    return left.select("txn_id", "sequence", _user(F.col("key")), "kind")
+
+
+TWINS = ((1, "a"), (2, None), (2, None), (3, "b"), (3, None), (3, None), (3, None))
+
+
+@query(f"SELECT n, code, count(*) AS copies FROM {sql_values(TWINS, 'n, code')} WHERE code IS DISTINCT FROM 'a' GROUP BY ALL")
+def apply_duplicate_rows(spark, sf_dir):
+    """Rows that are equal, with a null in their unique key, outlive the deletion of another row."""
+    table = F.struct(F.lit("shop").alias("schema"), F.lit("loose").alias("name")).alias("table")
+    row = values.row({"code": ("varchar(8)", F.col("code")), "n": ("bigint", F.col("n"))}).alias("row")
+    state = spark.createDataFrame(list(TWINS), "n long, code string").select(table, row)
+    key = values.row({"code": ("varchar(8)", F.lit("a"))}).alias("key")
+    ops = state.where(values.plain(get(F.col("row"), "code")) == "a").select(F.lit("t").alias("txn_id"), F.lit(1).cast("long").alias("sequence"), "table", F.lit("delete").alias("kind"), key, F.col("row").alias("expect"), F.lit(None).cast(ROW).alias("write"))
+    left = apply.new_state(state, ops)
+    return left.groupBy(_plain("row", "n", "long").alias("n"), _plain("row", "code").alias("code")).agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query("SELECT 'all' AS txn_id, 'CONFLICT' AS status, CAST(0 AS BIGINT) AS affected", EVENT_LOG)
 def apply_atomic_conflict(spark, sf_dir):
     return apply.verdict(_revert(spark, sf_dir).withColumn("txn_id", F.lit("all")), _drifted(spark, sf_dir))
@@ -486,7 +600,30 @@ def value_decimal(spark, sf_dir):
 
 @query("SELECT p_partkey, to_base64(CAST(p_name AS BLOB)) AS b FROM part")
 def value_base64(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.base64(F.col("p_name").cast("binary")).alias("b"))
+    v = values.value("varbinary(255)", F.col("p_name"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", values.unquoted(v["data"]).alias("b"))
+
+
+@query("SELECT p_partkey, p_name AS name, CAST(p_partkey % 256 AS INTEGER) AS bits FROM part")
+def value_raw_bytes(spark, sf_dir):
+    """Binary and bit values, encoded and read back as bytes."""
+    name, bits = values.value("varbinary(255)", F.col("p_name")), values.value("bit(8)", (F.col("p_partkey") % 256).cast("string"))
+    number = F.conv(F.hex(values.raw_bytes(bits)), 16, 10).cast("int").alias("bits")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", values.raw_bytes(name).cast("string").alias("name"), number)
+
+
+@query("SELECT event_id, make_timestamp(event_id * 1000003) AS at FROM events")
+def value_micros(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", values.from_micros(F.col("event_id") * 1_000_003).alias("at"))
+
+
+@query("SELECT event_id, true AS same FROM events")
+def value_json_equal(spark, sf_dir):
+    """JSON columns are compared by content, whatever the order of fields and the white space."""
+    spaced = F.concat(F.lit(' {"z": 1,  "p": '), F.col("props"), F.lit("}"))
+    tight = F.concat(F.lit('{"p":'), F.col("props"), F.lit(',"z":1}'))
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", spaced.alias("doc"), tight.alias("other"))
+    return df.select("event_id", values.predicate([{"doc": F.col("other")}], {"doc": "json"}).alias("same"))
 
 
 @query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS j FROM events")
@@ -503,7 +640,7 @@ def value_scalars(spark, sf_dir):
 
 # ---- streaming, environment -----------------------------------------------------------------------------------
 
-@query("SELECT 'evt:' || strftime(ts, '%Y-%m-%d-%H') AS txn_id, count(*) AS row_count, CAST(1 AS BIGINT) AS n_tables, count(*) FILTER (op = 'insert') AS n_insert, count(*) FILTER (op = 'update') AS n_update, count(*) FILTER (op = 'delete') AS n_delete, count(*) <= 1000 AS executable FROM ev GROUP BY 1", EVENT_LOG)
+@query("SELECT 'evt:' || strftime(ts, '%Y-%m-%d-%H') AS txn_id, count(*) AS row_count, CAST(1 AS BIGINT) AS n_tables, count(*) FILTER (op = 'insert') AS n_insert, count(*) FILTER (op = 'update') AS n_update, count(*) FILTER (op = 'delete') AS n_delete, count(*) <= 1000 AS executable, CASE WHEN count(*) <= 1000 THEN count(*) ELSE 0 END AS images, CASE WHEN count(*) <= 1000 THEN '' ELSE 'too many rows: ' || count(*) || ' > 1000' END AS reasons FROM ev GROUP BY 1", EVENT_LOG)
 def stream_txn_assembly(spark, sf_dir):
     """The hourly log as a stream over files, assembled until all is read; the result is what a batch gives."""
     from .streaming import assembly
@@ -513,7 +650,9 @@ def stream_txn_assembly(spark, sf_dir):
     rows.write.parquet(f"{folder}/log")
     made = assembly.assemble(spark.readStream.schema(rows.schema).parquet(f"{folder}/log"))
     made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("commit_time")
+    out = spark.read.parquet(f"{folder}/out")
+    counts = [F.col(c) for c in ("row_count", "n_insert", "n_update", "n_delete")]
+    return out.select("txn_id", *counts, F.size("tables").cast("long").alias("n_tables"), "executable", F.size("rows").cast("long").alias("images"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("SELECT * FROM (VALUES ('clean', false), ('warned', false), ('broken', true)) v(report, fatal)")

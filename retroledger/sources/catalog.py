@@ -6,7 +6,9 @@ tables: table, engine, charset, collation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..model import TABLE_REF
 
@@ -16,6 +18,45 @@ TABLES = f"table {TABLE_REF}, engine string, charset string, collation string"
 ENGINE = "InnoDB"
 
 
+@dataclass(frozen=True)
+class Catalog:
+    tables: DataFrame
+    columns: DataFrame
+    keys: DataFrame
+
+    def fingerprints(self) -> DataFrame:
+        return fingerprints(self.tables, self.columns, self.keys)
+
+
+def of_information_schema(tables: DataFrame, columns: DataFrame, statistics: DataFrame) -> Catalog:
+    """The catalog from the three views of an information schema, read over JDBC or from an export. Only unique indexes are
+    keys; computed columns are marked as such."""
+    ref = F.struct(F.col("TABLE_SCHEMA").alias("schema"), F.col("TABLE_NAME").alias("name")).cast(TABLE_REF).alias("table")
+    collation = F.coalesce("TABLE_COLLATION", F.lit(""))
+    listed = tables.select(ref, F.col("ENGINE").alias("engine"), F.substring_index(collation, "_", 1).alias("charset"), collation.alias("collation"))
+    computed = F.upper(F.coalesce("EXTRA", F.lit(""))).rlike("VIRTUAL GENERATED|STORED GENERATED")
+    cols = columns.select(ref, F.col("ORDINAL_POSITION").cast("int").alias("ordinal"), F.col("COLUMN_NAME").alias("name"), F.col("COLUMN_TYPE").alias("native"), (F.upper("IS_NULLABLE") == "YES").alias("nullable"), computed.alias("generated"))
+    parts = statistics.where(F.col("NON_UNIQUE").cast("int") == 0).groupBy(ref, F.col("INDEX_NAME").alias("key")).agg(F.sort_array(F.collect_list(F.struct(F.col("SEQ_IN_INDEX").cast("int").alias("n"), F.col("COLUMN_NAME").alias("c")))).alias("_c"))
+    keys = parts.select("table", "key", (F.col("key") == "PRIMARY").alias("is_primary"), F.transform("_c", lambda x: x["c"]).alias("columns"))
+    return Catalog(listed, cols, keys)
+
+
+def read(spark: SparkSession, path: str) -> Catalog:
+    """A catalog from a folder: tables, columns and keys, or tables, columns and statistics of an information schema; each
+    is Parquet, or JSON lines with the suffix .json."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = {s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)}
+
+    def table(name: str, schema: str | None) -> DataFrame:
+        if f"{name}.json" in names:
+            return (spark.read.schema(schema) if schema else spark.read).option("mode", "FAILFAST").json(f"{path}/{name}.json")
+        return spark.read.parquet(f"{path}/{name}")
+
+    if {"statistics", "statistics.json"} & names:
+        return of_information_schema(*(table(n, None) for n in ("tables", "columns", "statistics")))
+    return Catalog(table("tables", TABLES), table("columns", COLUMNS), table("keys", KEYS))
+
+
 def fingerprints(tables: DataFrame, columns: DataFrame, keys: DataFrame) -> DataFrame:
     """table and fingerprint: a digest of a fixed listing of engine, character set, columns by position and keys (primary
     first, then by name)."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -69,10 +70,24 @@ def read_stream(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
 
 
 def log_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, size and modified_at of the regular files in a folder that begin with the log magic."""
-    found = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return found.where(F.substring("content", 1, len(MAGIC)) == F.lit(MAGIC)).select(name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+    """name, size and modified_at of the regular files in a folder that begin with the log magic; four bytes of each are read.
+    Links and folders are passed over; a folder without any log is an error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = folder.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for s in fs.listStatus(folder):
+        local = s.getPath().toUri().getPath() if fs.getScheme() == "file" else None
+        if not s.isFile() or s.isSymlink() or (local and os.path.islink(local)) or s.getLen() < len(MAGIC):
+            continue
+        stream = fs.open(s.getPath())
+        try:
+            begin = bytes(stream.read() for _ in MAGIC)
+        finally:
+            stream.close()
+        if begin == MAGIC:
+            found.append((s.getPath().getName(), s.getLen(), datetime.fromtimestamp(s.getModificationTime() / 1000, timezone.utc).replace(tzinfo=None)))
+    if not found:
+        raise NotFound(f"no log files in {path}")
+    return spark.createDataFrame(sorted(found), "name string, size long, modified_at timestamp_ntz")
 
 
 def confined(base: str, name: str) -> str:

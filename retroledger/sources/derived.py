@@ -99,3 +99,35 @@ def event_state(spark: SparkSession, sf_dir: str, drifted: bool = False) -> Data
 def state_rows(state: DataFrame) -> DataFrame:
     """A state table in the generic form that checks read: table, row."""
     return state.select(_table("state").alias("table"), _event_row(F.col("event_type"), F.col("value")).alias("row"))
+
+
+SID = bytes(range(16))
+STATE_COLUMNS = ("user_id", "event_type", "value")
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as raw row events: for each change a transaction of GTID, TABLE_MAP, rows and XID. Every eleventh user
+    or so has faults: rows too narrow (user % 11 = 1), updates with one image (2), other columns (3), unknown row events (4),
+    a statement instead of rows (5), and rows of a table that no map names (6)."""
+    log = event_log(spark, sf_dir).select("pos", "commit_time", "op", "before", "after")
+    cell = lambda row, n: values.plain(F.get(F.filter(F.col(row), lambda x: x["column"] == n), 0)["value"])
+    image = lambda row: F.when(F.col(row).isNotNull(), F.array(*(cell(row, n) for n in STATE_COLUMNS)))
+    seen = log.withColumn("_b", image("before")).withColumn("_a", image("after")).withColumn("fault", F.coalesce(F.get("_a", 0), F.get("_b", 0)).cast("long") % 11)
+    rows = F.array_compact(F.array("_b", "_a"))
+    rows = F.when(F.col("fault") == 1, F.transform(rows, lambda r: F.slice(r, 1, 2))).when((F.col("fault") == 2) & (F.col("op") == "update"), F.slice(rows, 1, 1)).otherwise(rows)
+    kind = F.when(F.col("op") == "insert", "WRITE_ROWSv2").when(F.col("op") == "update", "UPDATE_ROWSv2").otherwise("DELETE_ROWSv1")
+    kind = F.when(F.col("fault") == 4, "PARTIAL_UPDATE_ROWS").when(F.col("fault") == 5, "QUERY").otherwise(kind)
+    names = F.when(F.col("fault") == 3, F.array(*map(F.lit, ("user_id", "kind", "value")))).otherwise(F.array(*map(F.lit, STATE_COLUMNS)))
+    none = F.lit(None)
+    table = F.when(F.col("fault") == 6, F.col("pos") * 100 + 7).otherwise(F.lit(7)).cast("long")
+
+    def event(step: int, event_type: Column, **given: Column) -> Column:
+        fields = {"sid": none.cast("binary"), "gno": none.cast("long"), "table_id": none.cast("long"), "schema": none.cast("string"), "table": none.cast("string"), "columns": none.cast("array<string>"), "rows": none.cast("array<array<string>>"), "sql": none.cast("string")} | given
+        return F.struct((F.col("pos") * 10 + step).cast("long").alias("pos"), event_type.alias("event_type"), *(v.alias(k) for k, v in fields.items()))
+
+    listed = F.array(
+        event(0, F.lit("GTID"), sid=F.lit(SID), gno=F.col("pos").cast("long")), event(1, F.lit("TABLE_MAP"), table_id=F.lit(7).cast("long"), schema=F.lit("shop"), table=F.lit("state"), columns=names),
+        event(2, kind, table_id=F.when(F.col("fault") != 5, table), rows=F.when(F.col("fault") != 5, rows), sql=F.when(F.col("fault") == 5, "TRUNCATE state\nnow")), event(3, F.lit("ROTATE")), event(4, F.lit("XID")),
+    )
+    one = seen.select("commit_time", F.explode(listed).alias("e"))
+    return one.select(F.lit("binlog.000001").alias("source_file"), "e.pos", "e.event_type", F.col("commit_time").alias("event_time"), *(F.col(f"e.{c}") for c in ("sid", "gno", "table_id", "schema", "table", "columns", "rows", "sql")))

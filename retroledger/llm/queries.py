@@ -31,7 +31,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(_documents(spark, sf_dir), fitting.id_hash() % 7 != 2)
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rounded = [F.round(c, 6).alias(c) for c in ("base_score", "score")]  # sums of doubles, whose last digits depend on their order
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", *rounded)
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +103,25 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM judged WHERE
 words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op2_language_model": rf"""
+WITH crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), ' ') AS w FROM documents),
+held AS (SELECT r, doc_id, w, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ord(substr(k, CAST(i AS INTEGER), 1)) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 7 = 2 AS held_out FROM d, crc),
+tok AS (SELECT r, NOT held_out AS train, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM held),
+g AS (SELECT r, train, p, w, coalesce(lag(w) OVER o, '  ') AS b, CASE WHEN p > 1 THEN coalesce(lag(w, 2) OVER o, '  ') END AS a FROM tok WINDOW o AS (PARTITION BY r ORDER BY p)),
+g1 AS (SELECT w, CAST(count(*) AS DOUBLE) AS n FROM g WHERE train GROUP BY w),
+g2 AS (SELECT b, w, CAST(count(*) AS DOUBLE) AS n FROM g WHERE train GROUP BY b, w),
+g3 AS (SELECT a, b, w, CAST(count(*) AS DOUBLE) AS n FROM g WHERE train AND p > 1 GROUP BY a, b, w),
+h2 AS (SELECT b, sum(n) AS t, count(*) AS f FROM g2 GROUP BY b),
+h3 AS (SELECT a, b, sum(n) AS t, count(*) AS f FROM g3 GROUP BY a, b),
+ones AS (SELECT 1 AS k, count(*) FILTER (n = 1) AS o, count(*) FILTER (n = 2) AS u FROM g1 UNION ALL SELECT 2, count(*) FILTER (n = 1), count(*) FILTER (n = 2) FROM g2 UNION ALL SELECT 3, count(*) FILTER (n = 1), count(*) FILTER (n = 2) FROM g3),
+dd AS (SELECT max(CASE WHEN k = 1 THEN x END) AS d1, max(CASE WHEN k = 2 THEN x END) AS d2, max(CASE WHEN k = 3 THEN x END) AS d3 FROM (SELECT k, CASE WHEN o = 0 THEN 0.5 ELSE least(greatest(o / (o + 2.0 * u), 0.1), 0.95) END AS x FROM ones)),
+tt AS (SELECT sum(n) AS total, CAST(count(*) AS DOUBLE) AS types FROM g1),
+one AS (SELECT g.r, g.p, g.w, g.a, g.b, g1.n AS c, total, types, d2, d3, CASE WHEN g1.n > 0 THEN (g1.n - d1) / total ELSE d1 * types / total END AS p1 FROM g CROSS JOIN tt CROSS JOIN dd LEFT JOIN g1 ON g.w = g1.w),
+two AS (SELECT one.*, CASE WHEN h2.t IS NULL THEN p1 ELSE greatest(coalesce(g2.n, 0) - d2, 0) / h2.t + d2 * h2.f / h2.t * p1 END AS p2 FROM one LEFT JOIN h2 ON one.b = h2.b LEFT JOIN g2 ON one.b = g2.b AND one.w = g2.w),
+three AS (SELECT two.*, CASE WHEN h3.t IS NULL THEN p2 ELSE greatest(coalesce(g3.n, 0) - d3, 0) / h3.t + d3 * h3.f / h3.t * p2 END AS p3 FROM two LEFT JOIN h3 ON two.a = h3.a AND two.b = h3.b LEFT JOIN g3 ON two.a = g3.a AND two.b = g3.b AND two.w = g3.w)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM held JOIN (
+  SELECT r, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(total) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (total + types + 1))), 6) AS base_score, round(sum(log10(p3)), 6) AS score FROM three GROUP BY r) USING (r)""",
     "op3_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v)

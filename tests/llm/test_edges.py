@@ -151,28 +151,35 @@ def test_language_model(spark, docs):
     got = lm.score(docs, train, block_bytes=3000, bucket_size=300).collect()
     words = {n: [*PLAIN.findall((t or "").translate(LOWER)), None] for n, (_, t) in enumerate(TEXTS)}
     learnt = [n for n, (i, _) in enumerate(TEXTS) if (i or 0) % 3 != 1]
-    c, pairs = collections.Counter(), collections.Counter()
+    grams = [collections.Counter() for _ in range(3)]
     for n in learnt:
-        c.update(words[n])
-        pairs.update(zip(["<s>", *words[n][:-1]], words[n]))
-    total, types = sum(c.values()), len(c)
-    after, times = collections.Counter(), collections.Counter()
-    for (a, _), k in pairs.items():
-        after[a] += 1
-        times[a] += k
-    discount = lambda x: min(max((o := sum(v == 1 for v in x.values())) / (o + 2 * sum(v == 2 for v in x.values())), 0.1), 0.95)
-    d1, d2 = discount(c), discount(pairs)
+        w = ["<s>", *words[n]]
+        grams[0].update((x,) for x in w[1:])
+        grams[1].update(zip(w, w[1:]))
+        grams[2].update(zip(w, w[1:], w[2:]))
+    total, types = sum(grams[0].values()), len(grams[0])
+    after = collections.Counter(g[:-1] for level in grams[1:] for g in level)
+    times = collections.Counter()
+    for level in grams[1:]:
+        for g, k in level.items():
+            times[g[:-1]] += k
+    discount = [min(max((o := sum(v == 1 for v in x.values())) / (o + 2 * sum(v == 2 for v in x.values())), 0.1), 0.95) for x in grams]
+
+    def chance(g):
+        if len(g) == 1:
+            return (grams[0][g] - discount[0]) / total if grams[0][g] else discount[0] * types / total
+        h, d = g[:-1], discount[len(g) - 1]
+        return chance(g[1:]) if not times[h] else max(grams[len(g) - 1][g] - d, 0) / times[h] + d * after[h] / times[h] * chance(g[1:])
+
     want = collections.Counter()
     for n, (i, _) in enumerate(TEXTS):
-        base = score = 0.0
-        for a, b in zip(["<s>", *words[n][:-1]], words[n]):
-            base += math.log10((c[b] + 1) / (total + types + 1))
-            p = (c[b] - d1) / total if c[b] else d1 * types / total
-            if times[a]:
-                p = max(pairs[a, b] - d2, 0) / times[a] + d2 * after[a] / times[a] * p
-            score += math.log10(p)
-        want[i, len(words[n]), sum(c[w] > 0 for w in words[n]), total, round(base, 6), round(score, 6)] += 1
+        w = ["<s>", *words[n]]
+        base = sum(math.log10((grams[0][(b,)] + 1) / (total + types + 1)) for b in w[1:])
+        score = sum(math.log10(chance(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w)))
+        want[i, len(words[n]), sum(grams[0][(b,)] > 0 for b in w[1:]), total, round(base, 6), round(score, 6)] += 1
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    other = lm.score(docs, train, block_bytes=10**6, passes=1).collect()  # one block: nothing but totals travels
+    assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in other) == want
     none = lm.score(docs, F.lit(False)).agg(F.sum("score"), F.sum("base_score")).head()
     assert tuple(none) == (0.0, 0.0)
 

@@ -3,8 +3,10 @@
 A vocabulary file (byte-level BPE in the tokenizers JSON layout) becomes arrays: merge pairs as sorted integer keys
 with their ranks and results, and the bytes of every id. The distinct words of many texts lie in one flat array of
 symbols. Each round looks up all neighbouring pairs by binary search over the sorted keys, takes the lowest rank in
-each word, and joins every place of that pair (leftmost first), until no word has a pair left. Texts are cut into words
-first, by the pattern of the byte-level pre-tokenizer; added tokens are cut out before that.
+each word, and joins every place of that pair (leftmost first), until no word has a pair left. A word of over ``LONG`` bytes
+(a run of letters without a break) would take a round for each rank in it, so its pairs are kept in a queue by rank and place
+instead, and the work stays near linear. Texts are cut into words first, by the pattern of the byte-level pre-tokenizer;
+added tokens are cut out before that.
 
 Edge cases: null or empty text gives no ids and the empty text; very long texts are handled whole, one at a time;
 repeated rows are encoded alike; an empty table gives an empty result; other columns of the input pass through except
@@ -13,6 +15,7 @@ those whose names the result uses.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -29,6 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _PATTERN = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\p{White_Space}\p{L}\p{N}])").replace(r"\s+(?!\S)", r"\p{White_Space}+(?!\P{White_Space})").replace(r"|\s+", r"|\p{White_Space}+"))
 #: Words whose ids a worker keeps at most; beyond it starts anew.
 CACHE = 100_000
+LONG = 2_000
 NONE = np.int64(1 << 62)
 
 
@@ -56,6 +60,7 @@ class Vocabulary:
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.pairs: dict[tuple[int, int], tuple[int, int]] | None = None  # made when a long word comes
         spelled: list[bytes] = [b""] * size
         for token, i in vocab.items():
             spelled[i] = bytes(alphabet[c] for c in token)
@@ -70,6 +75,43 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, one word after another, and the number of ids of each."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._rounds(words)
+        ids, count = self._rounds([b"" if len(w) > LONG else w for w in words])
+        parts = np.split(ids, np.cumsum(count)[:-1])
+        for i in long:
+            parts[i] = self._queued(words[i])
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _queued(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: the pair of lowest rank, leftmost first, is joined until none is left."""
+        if self.pairs is None:
+            left, right = np.divmod(self.key, self.shift)
+            self.pairs = dict(zip(zip(left.tolist(), right.tolist()), zip(self.rank.tolist(), self.made[self.rank].tolist())))
+        pairs, symbol = self.pairs, self.of_byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(symbol)
+        before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [(*found, i, a, b) for i, (a, b) in enumerate(zip(symbol, symbol[1:])) if (found := pairs.get((a, b)))]
+        queue = [(rank, i, made, a, b) for rank, made, i, a, b in queue]
+        heapq.heapify(queue)
+        while queue:
+            _, i, made, a, b = heapq.heappop(queue)
+            j = behind[i]
+            if symbol[i] != a or j >= n or symbol[j] != b:
+                continue  # one of the two has been joined meanwhile
+            symbol[i], symbol[j] = made, -1
+            k = behind[i] = behind[j]
+            if k < n:
+                before[k] = i
+                if found := pairs.get((made, symbol[k])):
+                    heapq.heappush(queue, (found[0], i, found[1], made, symbol[k]))
+            h = before[i]
+            if h >= 0 and (found := pairs.get((symbol[h], made))):
+                heapq.heappush(queue, (found[0], h, found[1], symbol[h], made))
+        return np.array([x for x in symbol if x >= 0], np.int64)
+
+    def _rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(w) for w in words], np.int64)
         symbol = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), size)

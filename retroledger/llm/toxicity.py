@@ -28,6 +28,8 @@ from . import common, fitting
 BITS = 22
 #: Features: the whole word, and its beginnings of so many bytes if it is longer (stems).
 PREFIXES = (1 << 40, 4, 5, 6, 7)
+#: A word or stem that stands so often is a feature besides.
+LEVELS = (2, 4, 8)
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -58,8 +60,14 @@ def _slices(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return common.mix(h ^ (ends - starts).astype(np.uint64))
 
 
+def _again(feature: np.ndarray, level: int, low: int) -> np.ndarray:
+    """The feature of another's standing so often."""
+    return feature * (0x9E3779B1 * level | 1) + level & low
+
+
 def features(t: common.Texts, bits: int = BITS, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed words and stems of each text, each once, and where each text's begin; only those wanted, if given."""
+    """The hashed words and stems of each text, each once, and where each text's begin; only those wanted, if given. What
+    stands so often as LEVELS say is a feature besides."""
     buf = common.LOWER[t.buf]
     starts, ends = common.spans(buf, common.ALNUM)
     text, total, keys = np.searchsorted(t.at, starts, "right") - 1, _running(buf), []
@@ -71,8 +79,11 @@ def features(t: common.Texts, bits: int = BITS, wanted: np.ndarray | None = None
             met = wanted[word]
             some, word = some[met], word[met]
         keys.append(text[some] << bits | word)
-    key = np.unique(np.concatenate(keys))
-    return key & ((1 << bits) - 1), np.searchsorted(key >> bits, np.arange(len(t) + 1))
+    low = (1 << bits) - 1
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    more = [key[count >= k] & ~low | _again(key[count >= k] & low, k, low) for k in LEVELS]
+    key = np.unique(np.concatenate([key, *more]))
+    return key & low, np.searchsorted(key >> bits, np.arange(len(t) + 1))
 
 
 def sums(weights: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -87,6 +98,15 @@ class Model:
     scale: float
     shift: float
 
+    def wanted(self) -> np.ndarray:
+        """Which words and stems weigh, by themselves or by standing often."""
+        weighs = self.weights != 0
+        number = np.arange(len(weighs))
+        out = weighs.copy()
+        for k in LEVELS:
+            out |= weighs[_again(number, k, len(weighs) - 1)]
+        return out
+
     def score(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         return fitting.sigmoid(self.scale * (sums(self.weights, words, at) + self.intercept) + self.shift)
 
@@ -178,7 +198,7 @@ def score(docs: DataFrame, model: Model, column: str = "text", carry: bool = Tru
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value.weights != 0
+        wanted = shared.value.wanted()
         for t in common.texts(batches, column):
             made = shared.value.score(*features(t, wanted=wanted))
             yield pa.RecordBatch.from_arrays([*(t.rows.column(c) for c in rest), pa.array(made, pa.float64())], [*rest, "score"])

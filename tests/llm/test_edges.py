@@ -49,7 +49,12 @@ def test_rows_stay_whole(spark, docs, name):
     op = operators(spark)[name]
     out = op(docs)
     assert len(set(out.columns)) == len(out.columns)
-    assert out.count() == len(TEXTS)
+    rows = out.collect()
+    assert len(rows) == len(TEXTS)
+    if "extra" in out.columns:  # carried values stand beside the ids that they came with
+        assert sorted((r.extra, r.doc_id) for r in rows) == [(n, i) for n, (i, _) in enumerate(TEXTS)]
+        for c, v in (("key", "k"), ("lang", None), ("source", None)):
+            assert c not in out.columns or v is None or all(r[c] == v for r in rows)
     empty = op(docs.limit(0))
     assert empty.count() == 0 and empty.columns == out.columns
     nulls = spark.createDataFrame([(None,) * 11] * 3, SCHEMA)
@@ -142,6 +147,10 @@ def test_bpe(spark, docs):
     odd = ["aaaaaaa", "'s't", "\x1c\x1d \x85 ​ ", "日本語123４５", "a\x00b", "".join(map(chr, range(0x2000, 0x2100)))]
     ids, count = bpe.Encoder(bpe.Vocabulary(path)).encode(odd)
     assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    rng = np.random.default_rng(5)
+    long = ["a" * 5001, "".join(rng.choice(list("theandingo"), 9000)), "ab", "日本" * 2000, "x" + "".join(rng.choice(list("etaoinshr"), 30_000))]
+    ids, count = bpe.Encoder(bpe.Vocabulary(path)).encode(long)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in long]
     shared = bpe.Vocabulary(path)
     assert bpe.decoded(shared, np.array([shared.of_byte[0xC3]])) == "�"
 

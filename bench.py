@@ -51,7 +51,7 @@ def large_transaction(spark: SparkSession, rows: int, size: int, folder: str) ->
 
     made = timed("plan", planned)
     ops = made.frame(spark)
-    state = timed("check", lambda: check.status(check.conflicts(check.matched(ops, store.state())), ops).head()["status"])
+    state = timed("check", lambda: check.judged(check.matched(ops, store.state())).head()["status"])
     assert state == "READY", state
     timed("apply", lambda: store.apply(made, apply.Options(canonical.ulid(), "bench", "1", made.digest), "now", "srv"))
     return took

@@ -161,14 +161,15 @@ def planned(found: Backend, made: plan.Plan) -> tuple[str, DataFrame]:
     spark = found.spark
     mismatch = check.instance_check(made.instance, found.profile.instance)
     ops = made.frame(spark)
-    conflicts = check.conflicts(check.matched(ops, found.store().state(sorted({f"{o['table']['schema']}.{o['table']['name']}" for o in made.operations}))))
+    matched = check.matched(ops, found.store().state(sorted({f"{o['table']['schema']}.{o['table']['name']}" for o in made.operations})))
+    conflicts = check.conflicts(matched)
     if mismatch:
         return mismatch[0]["status"], conflicts
     now, schemas = found.fingerprints(), None
     if now is not None and made.fingerprints:
         rows = [(t, f, now.get(t), None if t not in now else now[t] == f) for t, f in made.fingerprints.items()]
         schemas = spark.createDataFrame(rows, "table string, expected string, actual string, matches boolean")
-    told = check.status(conflicts, ops, schemas, ops.select("txn_id", table_name("table").alias("table"))).head()
+    told = (check.judged(matched) if schemas is None else check.status(conflicts, ops, schemas, ops.select("txn_id", table_name("table").alias("table")))).head()
     return told["status"] if told else "READY", conflicts
 
 

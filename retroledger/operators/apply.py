@@ -93,14 +93,16 @@ def _effect() -> Column:
     return F.coalesce(F.when(F.col("kind") == "insert", ~there).when(F.col("kind") == "delete", there).otherwise(there & ~contains(F.col("current"), F.col("write"))), F.lit(False))
 
 
-def new_state(state: DataFrame, ops: DataFrame, few: bool = False) -> DataFrame:
+def new_state(state: DataFrame, ops: DataFrame, few: bool = False, most: int | None = None) -> DataFrame:
     """The rows of state (table, row) after operations that hold: rows under their keys go, written rows come. Columns that
     an update does not write (computed ones) stay as they were. State rows are never grouped, so equal rows all stay.
-    few: the operations are known to be few and are broadcast; else the tables are shuffled to them."""
+    few: the operations are known to be few and are broadcast; else the tables are shuffled to them. most: by how many sets
+    of key columns a table's rows are addressed at most, if that is known."""
     small = F.broadcast if few else (lambda df: df)
     keys = ops.select("table", names(F.col("key")).alias("_c")).distinct()
     sets = keys.groupBy("table").agg(F.sort_array(F.collect_set("_c")).alias("_all"))
-    most = sets.agg(F.coalesce(F.max(F.size("_all")), F.lit(0))).head()[0]  # key sets of one table, usually one
+    if most is None:
+        most = sets.agg(F.coalesce(F.max(F.size("_all")), F.lit(0))).head()[0]  # usually one
     touched = ops.where("kind <> 'insert'").select("table", names(F.col("key")).alias("_set"), key_text(F.col("key")).alias("_key"), F.when(F.col("kind") == "update", F.col("write")).alias("_w"))
     touched = touched.groupBy("table", "_set", "_key").agg(F.first("_w", True).alias("_w"))
     out = state.join(F.broadcast(sets), "table", "left").withColumn("_hit", F.lit(False)).withColumn("_write", no_row())  # one row a table
@@ -267,7 +269,10 @@ class Store:
         found = verdict(ops, state, few).head()
         if found is not None and found["status"] != "READY":
             raise ApplyError(found["status"])
-        after = new_state(state, ops, few)
+        by_table: dict[str, set] = {}
+        for o in plan.operations:
+            by_table.setdefault(f"{o['table']['schema']}.{o['table']['name']}", set()).add(tuple(c["column"] for c in o["key"]))
+        after = new_state(state, ops, few, max(map(len, by_table.values()), default=0))
         version = f"v{before['version'] + 1}-{options.action_id}"  # no two writers share a folder
         tables = before["tables"] | {t: self._write(after.where(table_name("table") == t), t, version) for t in touched}
         self.publish(before, tables, marker(plan, options, created_at))

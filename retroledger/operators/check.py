@@ -80,6 +80,12 @@ def status(found: DataFrame, txns: DataFrame, schemas: DataFrame | None = None,
     return out.select("txn_id", total.alias("n_conflicts"), F.when(stale, "STALE_SCHEMA").when(total > 0, "CONFLICT").otherwise("READY").alias("status"))
 
 
+def judged(found: DataFrame) -> DataFrame:
+    """txn_id, n_conflicts and status (READY or CONFLICT) of matched operations, in one pass and without listing conflicts."""
+    n = F.sum(F.greatest(F.coalesce(F.size(listed()), F.lit(0)), F.lit(0)).cast("long"))  # the size of null is -1 in some modes
+    return found.groupBy("txn_id").agg(n.alias("n_conflicts")).select("txn_id", "n_conflicts", F.when(F.col("n_conflicts") > 0, "CONFLICT").otherwise("READY").alias("status"))
+
+
 def instance_check(planned: str, current: str) -> list[dict]:
     """A plan of another instance is not checked further: one conflict and the status SOURCE_MISMATCH."""
     return [] if planned == current else [{"kind": "instance_mismatch", "expected": planned, "actual": current, "status": "SOURCE_MISMATCH"}]

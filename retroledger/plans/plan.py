@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -114,8 +114,11 @@ class Plan:
 
     def sealed(self) -> Plan:
         """The plan with its digest, taken over its content with the digest left empty."""
-        body = asdict(replace(self, digest=""))
-        return replace(self, digest=digest(body))
+        return replace(self, digest=digest(self.content() | {"digest": ""}))
+
+    def content(self) -> dict:
+        """All fields by name; the operations are not copied."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def root(self) -> str:
         return self.root_digest or self.digest
@@ -128,10 +131,11 @@ class Plan:
 
 def collected(ops: DataFrame, max_rows: int) -> list[dict]:
     """Operations of one transaction, by sequence; refuses more than the policy allows."""
-    rows = ops.orderBy("sequence").limit(max_rows + 1).collect()
+    told = F.to_json(F.struct(*ops.columns), {"ignoreNullFields": "false"}).alias("o")
+    rows = ops.select("sequence", told).orderBy("sequence").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise Refused(f"more than {max_rows} operations")
-    return [r.asDict(recursive=True) for r in rows]
+    return [json.loads(r["o"]) for r in rows]
 
 
 def build(summary_row: dict, ops: DataFrame, fingerprints: dict[str, str], mode: str, instance: str, plan_id: str, created_at: str, tool_version: str, max_rows: int = 1000) -> Plan:
@@ -162,9 +166,19 @@ def next_in_chain(spark: SparkSession, root: Plan, mode: str, parent_action: str
     return replace(root, plan_id=plan_id, mode=mode, created_at=created_at, operations=ops, root_digest=root.digest, parent_digest=root.digest, parent_action=parent_action, depth=parent_depth + 1).sealed()
 
 
+def _text(plan: Plan) -> str:
+    """Readable JSON with sorted fields: one field a line, one operation a line."""
+    told = lambda x: json.dumps(x, sort_keys=True, ensure_ascii=False)
+    lines = []
+    for name, x in sorted(plan.content().items()):
+        many = name == "operations" and x
+        lines.append(f" {told(name)}: " + ("[\n  " + ",\n  ".join(map(told, x)) + "\n ]" if many else told(x)))
+    return "{\n" + ",\n".join(lines) + "\n}\n"
+
+
 def write_file(plan: Plan, path: str, max_bytes: int = 128 << 20) -> None:
-    """Readable JSON; the size is checked before the file is made, and nothing is overwritten."""
-    text = json.dumps(asdict(plan), sort_keys=True, indent=1, ensure_ascii=False).encode() + b"\n"
+    """The size is checked before the file is made, and nothing is overwritten."""
+    text = _text(plan).encode()
     if len(text) > max_bytes:
         raise Refused(f"the plan has {len(text)} bytes; {max_bytes} are allowed")
     with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:

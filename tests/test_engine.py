@@ -3,9 +3,11 @@
 import io
 import json
 import random
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from retroledger import cli, literals
@@ -13,7 +15,8 @@ from retroledger.functions import canonical, values
 from retroledger.model import CHANGE
 from retroledger.operators import actions, apply, check, index, transactions
 from retroledger.plans import config, plan
-from retroledger.sources import changelog
+from retroledger.sources import catalog, changelog
+from retroledger.streaming import assembly
 
 T = datetime(2024, 1, 1)
 EVENT = "source_file string, pos long, event_type string, event_time timestamp_ntz, sid binary, gno long, table_id long, schema string, table string, columns array<string>, rows array<array<string>>, sql string"
@@ -144,6 +147,117 @@ def test_conflict_changes_nothing(spark, tmp_path):
     assert [r.kind for r in check.conflicts(check.matched(p.frame(spark), store.state())).collect()] == ["row_mismatch"]
 
 
+class Broken:
+    """A store whose numbering of manifests fails, before or after it takes effect."""
+
+    def __init__(self, store, after):
+        self.store, self.after, self.number = store, after, store._number
+
+    def __enter__(self):
+        def fail(temp, name):
+            if self.after:
+                self.number(temp, name)
+            raise OSError("lost")
+
+        self.store._number = fail
+        return self.store
+
+    def __exit__(self, *_):
+        self.store._number = self.number
+
+
+def test_a_manifest_is_published_whole_or_not(spark, tmp_path):
+    store = apply.Store(spark, f"file://{tmp_path}/store")
+    store.create()
+    store.create()
+    assert store.versions() == [1] and store.manifest()["tables"] == {} and store.markers() == []
+    with Broken(store, after=False), pytest.raises(apply.ApplyError, match="could not be published"):
+        store.publish(store.manifest(), {"a": "b"})
+    assert store.versions() == [1]
+    with Broken(store, after=True):
+        store.publish(store.manifest(), {"a": "b"})  # the number was taken by this very manifest
+    assert store.manifest()["tables"] == {"a": "b"} and store.versions() == [1, 2]
+    with pytest.raises(apply.ApplyError, match="another action"):
+        store.publish({"version": 1}, {"c": "d"})
+    (tmp_path / "store/manifests/.9-crashed").write_text("")  # what a writer leaves that dies before it publishes
+    assert store.manifest()["version"] == 2 and not list(tmp_path.glob("store/manifests/.[0-8]*-*"))
+    broken = apply.Store(spark, f"file://{tmp_path}/store")
+
+    class Unreadable:
+        def __getattr__(self, name):
+            return getattr(store.fs, name)
+
+        def exists(self, path):
+            raise OSError("gone")
+
+    with Broken(broken, after=True):
+        broken.fs = Unreadable()
+        with pytest.raises(apply.CommitUnknown):
+            broken.publish({"version": 2}, {}, {"action_id": "x"})
+
+
+def test_malformed_row_events(spark):
+    names = ["user_id", "event_type", "value"]
+    begin = lambda n, g: [{"pos": n, "event_type": "GTID", "sid": bytes(16), "gno": g}, {"pos": n + 1, "event_type": "TABLE_MAP", "table_id": 1, "schema": "shop", "table": "state", "columns": names}]
+    end = lambda n: [{"pos": n, "event_type": "XID"}]
+    df = events(spark, [
+        *begin(1, 1), {"pos": 3, "event_type": "UPDATE_ROWSv2", "table_id": 1, "rows": [["1", "view", "1"]]}, *end(4),
+        *begin(11, 2), {"pos": 13, "event_type": "WRITE_ROWSv2", "table_id": 1, "rows": [["1", "view"]]}, *end(14),
+        *begin(21, 3), {"pos": 23, "event_type": "WRITE_ROWSv2", "table_id": 1, "rows": []}, *end(24),
+        *begin(31, 4), {"pos": 33, "event_type": "WRITE_ROWSv2", "table_id": 5, "rows": [["1", "view", "1"]]}, *end(34),
+    ])
+    changes, notes = transactions.decode_events(df, literals.columns(spark).where("table.name = 'state'"))
+    assert changes.count() == 0
+    told = {r.txn_id.rpartition(":")[2]: (r.executable, r.reasons[0].split(",")[0]) for r in transactions.summary(changes, notes).collect()}
+    assert told == {"1": (False, "an update of shop.state lacks an image"), "2": (False, "a row of shop.state has not as many values as columns"), "3": (False, "an event of shop.state holds no rows"), "4": (False, "rows of an unknown table")}
+    cells = spark.createDataFrame([(["1"],)], "v array<string>").select(values.decode_row(F.array(F.struct(F.lit("a").alias("name"), F.lit("int").alias("native")), F.struct(F.lit("b").alias("name"), F.lit("int").alias("native"))), F.col("v")))
+    with pytest.raises(PySparkException, match="1 values for 2 columns"):
+        cells.collect()
+
+
+def test_stream_of_transactions(spark, tmp_path):
+    """Rows, tables and reasons; rows after the commit and transactions that never end are told."""
+    rows = [("t1", 1, T, "insert", "s.a", "{1}"), ("t1", 2, T, "update", "s.b", "{2}"), ("t1", 3, T, "COMMIT", "", None), ("t2", 4, T, "insert", "s.a", "{3}"), ("t3", 5, T, "insert", "s.a", "{4}"), ("t3", 6, T, "insert", "s.a", "{5}"), ("t3", 7, T, "insert", "s.a", "{6}"), ("t3", 8, T, "COMMIT", "", None)]
+    schema = "txn_id string, pos long, time timestamp, op string, table string, change string"
+    log, out = f"{tmp_path}/log", f"{tmp_path}/out"
+
+    def step(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(log)
+        made = assembly.assemble(spark.readStream.schema(schema).parquet(log), max_rows=2)
+        q = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        assert assembly.read_for(q, 120)
+        return {(r.txn_id, tuple(r.rows), tuple(r.tables), r.executable, tuple(r.reasons)) for r in spark.read.parquet(out).collect()}
+
+    first = step(rows)
+    assert first == {("t1", ("{1}", "{2}"), ("s.a", "s.b"), True, ()), ("t3", (), ("s.a",), False, ("too many rows: 3 > 2",))}
+    again = step([("t1", 9, T, "delete", "s.a", "{9}"), ("t2", 10, T, "COMMIT", "", None)])
+    assert again - first == {("t1", ("{9}",), ("s.a",), False, ("rows after the commit",)), ("t2", ("{3}",), ("s.a",), True, ())}
+
+
+def test_catalog_and_log_files(spark, tmp_path):
+    lines = lambda name, rows: (tmp_path / "schema").mkdir(exist_ok=True) or (tmp_path / f"schema/{name}.json").write_text("\n".join(map(json.dumps, rows)))
+    lines("tables", [{"TABLE_SCHEMA": "shop", "TABLE_NAME": "state", "ENGINE": "InnoDB", "TABLE_COLLATION": "utf8mb4_bin"}, {"TABLE_SCHEMA": "shop", "TABLE_NAME": "old", "ENGINE": "MyISAM", "TABLE_COLLATION": "utf8mb4_bin"}])
+    lines("columns", [{"TABLE_SCHEMA": "shop", "TABLE_NAME": "state", "COLUMN_NAME": n, "ORDINAL_POSITION": k, "COLUMN_TYPE": c, "IS_NULLABLE": null, "EXTRA": extra} for k, (n, c, null, extra) in enumerate((("user_id", "bigint", "NO", ""), ("event_type", "varchar(16)", "NO", ""), ("value", "decimal(18,2)", "YES", "STORED GENERATED")), 1)])
+    lines("statistics", [{"TABLE_SCHEMA": "shop", "TABLE_NAME": "state", "INDEX_NAME": i, "NON_UNIQUE": u, "SEQ_IN_INDEX": n, "COLUMN_NAME": c} for i, u, n, c in (("PRIMARY", 0, 1, "user_id"), ("twice", 0, 2, "value"), ("twice", 0, 1, "event_type"), ("plain", 1, 1, "value"))])
+    found = catalog.read(spark, f"{tmp_path}/schema")
+    assert {(r.key, r.is_primary, tuple(r.columns)) for r in found.keys.collect()} == {("PRIMARY", True, ("user_id",)), ("twice", False, ("event_type", "value"))}
+    assert [(r.name, r.nullable, r.generated) for r in found.columns.orderBy("ordinal").collect()] == [("user_id", False, False), ("event_type", False, False), ("value", True, True)]
+    assert [r.table.name for r in catalog.refused_engines(found.tables).collect()] == ["old"] and found.fingerprints().count() == 2
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    with pytest.raises(changelog.NotFound):
+        changelog.log_files(spark, str(logs))
+    (logs / "b.2").write_bytes(changelog.MAGIC + b"12345")
+    (logs / "b.1").write_bytes(changelog.MAGIC)
+    (logs / "other").write_bytes(b"text, no log")
+    (logs / "tiny").write_bytes(b"x")
+    (logs / "folder").mkdir()
+    (logs / "link").symlink_to(logs / "b.1")
+    assert [(r["name"], r["size"]) for r in changelog.log_files(spark, str(logs)).collect()] == [("b.1", 4), ("b.2", 9)]
+    order = spark.createDataFrame([(0, "b.1"), (1, "b.2")], "n int, name string")
+    assert index.sorted_snapshot(order).head().increasing and not index.sorted_snapshot(order.withColumn("n", -F.col("n"))).head().increasing
+
+
 def test_moved_keys_and_refusals(spark):
     log = spark.createDataFrame([change(1, "srv:1", "update", row(1, "view", 1), row(2, "view", 1))], CHANGE)
     ops = plan.operations(log, literals.keys(spark))
@@ -207,4 +321,55 @@ def test_command_line(spark, tmp_path):
     code, said = run("plan", "apply", f"{tmp_path}/p.json", "--confirm", digest, "--operator", "me")
     assert code == 0 and run("action", "verify", json.loads(said)["action_id"], f"{tmp_path}/p.json")[1] == "COMMITTED\n"
     assert run("plan", "check", f"{tmp_path}/p.json")[0] == 1
+    assert "warning" in json.loads(said)  # the log holds no marker of the action
+    root, action = f"{tmp_path}/p.json", json.loads(said)["action_id"]
+    again = run("action", "reapply", action, root, "--out", f"{tmp_path}/again.json")[1].strip()
+    with pytest.raises(plan.Refused):
+        run("action", "revert", action, root, "--out", f"{tmp_path}/x.json")
+    code, said = run("plan", "apply", f"{tmp_path}/again.json", "--confirm", again, "--operator", "me")
+    assert code == 0 and "affected" in said and "REAPPLY" in run("--format", "json", "action", "show", json.loads(said)["action_id"])[1]
+    assert run("action", "revert", json.loads(said)["action_id"], root, "--out", f"{tmp_path}/third.json")[0] == 0
+    assert run("index", "update", f"{tmp_path}/ix", f"{tmp_path}/ix2")[1] == "CURRENT\n"
+    assert run("txn", "list", "--max-time", "60")[0] == 0
     assert run("doctor")[0] == 0 and run("version")[1] == cli.VERSION + "\n"
+
+
+def test_command_line_with_a_catalog(spark, tmp_path):
+    """Fingerprints are planned, drift is seen, and a conflicting plan is resolved by decisions."""
+    log, state, schema = f"{tmp_path}/log", f"file://{tmp_path}/store", f"{tmp_path}/schema"
+    spark.createDataFrame([change(1, "srv:1", "insert", None, row(1, "view", 1)), change(2, "srv:1", "insert", None, row(2, "view", 2))], CHANGE).write.parquet(log)
+    for name in ("tables", "columns", "keys"):
+        getattr(literals, name)(spark).write.parquet(f"{schema}/{name}")
+    apply.Store(spark, state).bootstrap(spark.createDataFrame([(TABLE, row(1, "view", 1)), (TABLE, row(2, "click", 2))], apply.check_schema()))
+
+    def run(*argv):
+        out = io.StringIO()
+        code = cli.main(["--config", f"{tmp_path}/c.json", *argv], spark, out)
+        return code, out.getvalue()
+
+    said = run("init", "--log", log, "--target", state, "--instance", "srv", "--catalog", schema, "--schema", "shop")[1]
+    assert "REPLICATION" in said and "`shop`" in said and config.load(f"{tmp_path}/c.json")["default"].server_id >= 10_000
+    run("plan", "create", "srv:1", "--out", f"{tmp_path}/p.json")
+    assert list(plan.read_file(f"{tmp_path}/p.json").fingerprints) == ["shop.state"]
+    assert run("plan", "check", f"{tmp_path}/p.json")[1].startswith("CONFLICT")
+    decide = lambda **d: (tmp_path / "d.json").write_text(json.dumps({"operator": "me", "reason": "why", "decisions": [d] if d else []}))
+    decide()
+    with pytest.raises(plan.Refused, match="without a decision"):
+        run("plan", "resolve", f"{tmp_path}/p.json", "--decisions", f"{tmp_path}/d.json", "--out", f"{tmp_path}/r.json")
+    decide(sequence=1, verb="skip")
+    digest = run("plan", "resolve", f"{tmp_path}/p.json", "--decisions", f"{tmp_path}/d.json", "--out", f"{tmp_path}/r.json")[1].strip()
+    made = plan.read_file(f"{tmp_path}/r.json")
+    assert made.execution_class == "unsafe_resolved" and [o["sequence"] for o in made.operations] == [1] and run("plan", "check", f"{tmp_path}/r.json")[1].startswith("READY")
+    literals.columns(spark).withColumn("nullable", F.lit(True)).write.parquet(f"{schema}2/columns")
+    for name in ("tables", "keys"):
+        getattr(literals, name)(spark).write.parquet(f"{schema}2/{name}")
+    known = config.load(f"{tmp_path}/c.json")["default"]
+    config.save(f"{tmp_path}/c.json", {"default": replace(known, catalog=f"{schema}2")})
+    assert run("plan", "check", f"{tmp_path}/r.json")[1].startswith("STALE_SCHEMA")
+    with pytest.raises(apply.ApplyError, match="STALE_SCHEMA"):
+        run("plan", "apply", f"{tmp_path}/r.json", "--confirm", digest, "--operator", "me")
+    config.save(f"{tmp_path}/c.json", {"default": known})
+    assert run("plan", "apply", f"{tmp_path}/r.json", "--confirm", digest, "--operator", "me")[0] == 0
+    config.save(f"{tmp_path}/c.json", {"default": replace(known, lacks=["before_image"])})
+    with pytest.raises(changelog.Unsupported):
+        run("txn", "list")

@@ -2,10 +2,11 @@
 
 A text that is like the good examples is shorter under their dictionary. The score comes from the normalised difference
 of both compressed sizes, with the plain compression rate beside it (a text of one repeated line is short under either
-dictionary), through a logistic calibration on labelled texts that built no dictionary.
+dictionary), through a logistic calibration. Each half of the labelled texts calibrates on the dictionaries of the other,
+so no text is measured by a dictionary that it built; the dictionaries that score are built from all of them.
 
-Bounds: ``rows`` labelled texts of each label and ``max_bytes`` of their text (the sample is fitted on the driver); half
-of them build dictionaries, half calibrate. Every document is scored over its whole text.
+Bounds: ``rows`` labelled texts of each label and ``max_bytes`` of their text (the sample is fitted on the driver). Every
+document is scored over its whole text.
 
 Edge cases: null and empty texts get the score that the calibration gives to size zero; without labels of both kinds
 every score is 0.5; repeated rows are scored alike; an empty table gives an empty result; other columns pass through
@@ -74,11 +75,16 @@ def fit(texts_of: dict[int, list[str]], size: int = DICTIONARY_BYTES) -> Model |
     """A model from texts by label (1 good, 0 bad); None if either has fewer than two texts."""
     if min(len(texts_of.get(k, [])) for k in (0, 1)) < 2:
         return None
-    good, bad = (_dictionary([t.encode() for t in texts_of[k][::2]], size) for k in (1, 0))
-    sizes = Sizes(good, bad)
-    x = np.vstack([sizes.features(texts_of[k][1::2]) for k in (0, 1)])
-    y = np.repeat([0.0, 1.0], [len(texts_of[k][1::2]) for k in (0, 1)])
-    return Model(good, bad, tuple(fitting.logistic(x, y)))
+    built = lambda step: [_dictionary([t.encode() for t in texts_of[k][step]], size) for k in (1, 0)]
+    x, y = [], []
+    for half in (0, 1):
+        sizes = Sizes(*built(slice(half, None, 2)))
+        for k in (0, 1):
+            others = texts_of[k][1 - half :: 2]
+            x.append(sizes.features(others))
+            y += [float(k)] * len(others)
+    good, bad = built(slice(None))
+    return Model(good, bad, tuple(fitting.logistic(np.vstack(x), np.array(y))))
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, rows: int = 4000, max_bytes: int = 16_000_000) -> Model | None:

@@ -16,7 +16,7 @@ from .model import CHANGE, ROW, contains, get, same_value, table_name
 from .operators import actions, apply, check, index, resolve, transactions
 from .plans import plan
 from .sources import catalog, derived
-from .sources.changelog import Scope, current_cursor, scan
+from .sources.changelog import Scope, current_cursor, find, read_stream, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -108,7 +108,7 @@ def txn_filter_table(spark, sf_dir):
 @query("SELECT sequence, tbl, op FROM cl WHERE k = (SELECT max(l_orderkey) FROM lineitem)", ORDER_LOG)
 def txn_show_rows(spark, sf_dir):
     last = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.max("l_orderkey")).head()[0]
-    return derived.order_log(spark, sf_dir).where(F.col("txn_id") == f"srv:{last}").select("sequence", F.col("table.name").alias("tbl"), "op")
+    return find(derived.order_log(spark, sf_dir), f"srv:{last}", instance="srv").select("sequence", F.col("table.name").alias("tbl"), "op")
 
 
 @query("SELECT max(source_file) AS file, max(k * 100 + sequence) + 1 AS start FROM cl WHERE source_file = (SELECT max(source_file) FROM cl)", ORDER_LOG)
@@ -329,6 +329,16 @@ def schema_fingerprint(spark, sf_dir):
     return catalog.fingerprints(literals.tables(spark), literals.columns(spark), literals.keys(spark)).select(F.col("table.name").alias("tbl"), "fingerprint")
 
 
+@query("SELECT txn_id, 'no usable unique key: shop.keyless' AS reason FROM judged WHERE user_id % 3 = 0 UNION ALL SELECT txn_id, 'unknown operation' FROM judged WHERE user_id % 3 = 1 AND op = 'update'", EVENT_LOG)
+def plan_refusals(spark, sf_dir):
+    """Why operations cannot be planned: tables without a key, and operations of unknown kinds."""
+    user = F.coalesce(values.plain(get(F.col("after"), "user_id")), values.plain(get(F.col("before"), "user_id"))).cast("long")
+    keyless = F.struct(F.lit("shop").alias("schema"), F.lit("keyless").alias("name"))
+    rows = _last_changes(spark, sf_dir).withColumn("table", F.when(user % 3 == 0, keyless).otherwise(F.col("table")))
+    ops = plan.operations(rows.withColumn("op", F.when((user % 3 == 1) & (F.col("op") == "update"), "merge").otherwise(F.col("op"))), literals.keys(spark))
+    return plan.faults(ops)
+
+
 # ---- check ----------------------------------------------------------------------------------------------------
 
 def _drifted(spark, sf_dir):
@@ -631,7 +641,14 @@ def value_json_canonical(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", values.json_text(F.col("props")).alias("j"))
 
 
-@query()
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(native, '^({names})') THEN '{kind}'" for kind, names in values.PREFIXES) + " END"
+
+
+@query(f"""SELECT native, raw, kind, CASE kind WHEN 'integer' THEN 'json' WHEN 'text' THEN 'utf8' WHEN 'binary' THEN 'base64' WHEN 'json' THEN 'json-canonical' ELSE 'string' END AS encoding,
+  CASE kind WHEN 'integer' THEN plain ELSE CAST(to_json(plain) AS VARCHAR) END AS data, plain, true AS valid FROM (
+  SELECT native, raw, kind, CASE kind WHEN 'integer' THEN CAST(CASE WHEN native LIKE '%unsigned' AND raw LIKE '-%' THEN CAST(raw AS HUGEINT) + 18446744073709551616 ELSE CAST(trim(raw) AS HUGEINT) END AS VARCHAR)
+    WHEN 'binary' THEN to_base64(encode(raw)) WHEN 'json' THEN '{{"a":' || CAST(raw -> 'a' AS VARCHAR) || ',"b":' || CAST(raw -> 'b' AS VARCHAR) || '}}' WHEN 'text' THEN raw ELSE trim(raw) END AS plain
+  FROM (SELECT native, raw, {_KIND} AS kind FROM {sql_values(literals.SCALARS, 'native, raw')}))""")
 def value_scalars(spark, sf_dir):
     """All kinds of values, encoded and read back."""
     df = spark.createDataFrame(list(literals.SCALARS), "native string, raw string")
@@ -651,10 +668,20 @@ def stream_txn_assembly(spark, sf_dir):
     made = assembly.assemble(spark.readStream.schema(rows.schema).parquet(f"{folder}/log"))
     made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
-    counts = [F.col(c) for c in ("row_count", "n_insert", "n_update", "n_delete")]
+    counts = [transactions.rows_of(F.col("row_count"), F.col("rows")).alias("row_count"), "n_insert", "n_update", "n_delete"]
     return out.select("txn_id", *counts, F.size("tables").cast("long").alias("n_tables"), "executable", F.size("rows").cast("long").alias("images"), F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query("SELECT op, count(*) AS n FROM ev GROUP BY op", EVENT_LOG)
+def stream_log_rows(spark, sf_dir):
+    """The event log read as it grows."""
+    folder = _own_folder(spark, "log")
+    derived.event_log(spark, sf_dir).write.parquet(f"{folder}/log")
+    rows = read_stream(spark, f"{folder}/log").select("op")
+    rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT * FROM (VALUES ('clean', false), ('warned', false), ('broken', true)) v(report, fatal)")
 def doctor_severity(spark, sf_dir):
     reports = (("clean", ("OK", "OK")), ("warned", ("OK", "WARN")), ("broken", ("WARN", "ERROR")))

@@ -145,11 +145,6 @@ def spans(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def first_of(starts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each text the index of its first word, and the number of words at the end."""
-    return np.searchsorted(starts, at)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = h ^ (h >> np.uint64(33))

@@ -263,7 +263,22 @@ class Store:
         drifted = [t for t, f in plan.fingerprints.items() if fingerprints is not None and fingerprints.get(t) != f]
         if drifted:
             raise ApplyError("STALE_SCHEMA: " + ", ".join(sorted(drifted)))
-        ops = plan.frame(self.spark)
+        ops = plan.frame(self.spark).persist()  # bounded by the policy, and read several times
+        try:
+            tables, affected = self._written(plan, ops, before, f"v{before['version'] + 1}-{options.action_id}")  # no two writers share a folder
+        finally:
+            ops.unpersist()
+        self.publish(before, tables, marker(plan, options, created_at))
+        result = {"action_id": options.action_id, "affected": affected, "plan": plan.digest}
+        if correlate is not None:
+            try:
+                result["txn_id"] = correlate(options.action_id)
+            except Exception as e:
+                result["warning"] = f"the action is applied; its transaction was not found: {e}"
+        return result
+
+    def _written(self, plan: Plan, ops: DataFrame, before: dict, version: str) -> tuple[dict[str, str], int]:
+        """The tables after a plan whose operations all hold, written beside the present ones, and the number of changed rows."""
         touched = sorted({f"{o['table']['schema']}.{o['table']['name']}" for o in plan.operations})
         state, few = self.state(touched), len(plan.operations) <= FEW
         found = verdict(ops, state, few).head()
@@ -273,16 +288,8 @@ class Store:
         for o in plan.operations:
             by_table.setdefault(f"{o['table']['schema']}.{o['table']['name']}", set()).add(tuple(c["column"] for c in o["key"]))
         after = new_state(state, ops, few, max(map(len, by_table.values()), default=0))
-        version = f"v{before['version'] + 1}-{options.action_id}"  # no two writers share a folder
         tables = before["tables"] | {t: self._write(after.where(table_name("table") == t), t, version) for t in touched}
-        self.publish(before, tables, marker(plan, options, created_at))
-        result = {"action_id": options.action_id, "affected": found["affected"] if found else 0, "plan": plan.digest}
-        if correlate is not None:
-            try:
-                result["txn_id"] = correlate(options.action_id)
-            except Exception as e:
-                result["warning"] = f"the action is applied; its transaction was not found: {e}"
-        return result
+        return tables, found["affected"] if found else 0
 
 
 def check_schema() -> str:
